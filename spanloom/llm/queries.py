@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import read_table
+from .chunking import Sizes, all_pieces, split_oversized
 from .crosssplit import SuffixPlan, covered_words, cross_pairs, cross_split_overlaps
+from .leakage import Passage, leaked_passages
+from .mixing import mixture
 from .neardup import Similarity, groups_of, near_duplicates, row_pairs
+from .quota import quota_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +34,33 @@ def cleaned(label: str) -> F.Column:
     return F.lower(F.trim(F.col(label)))
 
 
+# Problem 1: splitting oversized items at natural boundaries.
+
+_SIZES = Sizes(limit=2000, overlap=100)
+
+
+@query(
+    """
+    SELECT row_id, 'oversized' AS kind FROM tagger_record WHERE length(attacked_data) > 2000
+    UNION ALL
+    SELECT row_id, 'unbroken' AS kind FROM tagger_record
+    WHERE len(list_filter(regexp_split_to_array(attacked_data, '[ \\t\\r\\n]'), lambda x: length(x) > 2000)) > 0
+    """
+)
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that are split, and those of them with a run without white space longer than a piece."""
+    found = split_oversized(read_table(spark, folder, "tagger_record"), "row_id", "attacked_data", "drop_spans", _SIZES)
+    kinds = F.when(F.col("unbroken") > _SIZES.limit, F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized")))
+    return found.where("piece = 1").select(F.col("id").alias("row_id"), F.explode(kinds).alias("kind"))
+
+
+@query()
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All records in pieces within the limit, with each piece's own drop spans."""
+    found = all_pieces(read_table(spark, folder, "tagger_record"), "row_id", "attacked_data", "drop_spans", _SIZES)
+    return found.withColumnRenamed("id", "row_id")
+
+
 # Problem 2: near-duplicate records with small edits.
 
 _EDITS = Similarity(width=3, permille=700, min_words=8)
@@ -87,3 +118,112 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("split", "source_name")
         .agg(F.count("*").alias("records"), F.count_if(F.coalesce("hit", F.lit(False))).alias("overlapping"), F.round(F.avg(F.coalesce("share", F.lit(0.0))), 6).alias("mean_shared"))
     )
+
+
+# Problem 4: a sample that matches target proportions.
+
+_CATEGORIES = ["attack_type", "position", "cut_type"]
+_DOMAINS = {
+    "attack_type": ["Clean", "Naive", "Ignore", "Completion", "IndirectAgentic"],
+    "position": ["none", "prepend", "middle", "append"],
+    "cut_type": ["none", "empty", "two_thirds", "half"],
+}
+_SQL_CELLS = """
+    WITH labels AS (
+        SELECT DISTINCT id, lower(trim(attack_type, ' ')) AS a, lower(trim(position, ' ')) AS p, lower(trim(cut_type, ' ')) AS c FROM tagger_record WHERE id IS NOT NULL),
+    size AS (
+        SELECT count(DISTINCT id) // 10 AS n FROM labels WHERE a IN ('clean', 'naive', 'ignore', 'completion', 'indirectagentic')
+        AND p IN ('none', 'prepend', 'middle', 'append') AND c IN ('none', 'empty', 'two_thirds', 'half')),
+    cells AS (
+        SELECT t.*, n, greatest((target_permille * n + 999) // 1000, min_rows) AS wanted,
+               (SELECT count(DISTINCT id) FROM labels WHERE a = lower(trim(t.attack_type, ' ')) AND p = lower(trim(t.position, ' ')) AND c = lower(trim(t.cut_type, ' '))) AS available
+        FROM sample_target t, size)
+"""
+
+
+def _quota(spark: SparkSession, folder: str):
+    records = read_table(spark, folder, "tagger_record").select("id", *_CATEGORIES)
+    return quota_sample(records, "id", _CATEGORIES, read_table(spark, folder, "sample_target"), _DOMAINS)
+
+
+@query(_SQL_CELLS + "SELECT attack_type, position, cut_type FROM cells WHERE available < wanted")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells whose target can't be met."""
+    return _quota(spark, folder).report.where("shortfall > 0").select(*_CATEGORIES)
+
+
+@query()
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample: ids with their cell."""
+    return _quota(spark, folder).sample
+
+
+@query(_SQL_CELLS + "SELECT target_no, attack_type, position, cut_type, wanted, available, greatest(wanted - available, 0) AS shortfall FROM cells")
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What each cell wants, has and lacks."""
+    return _quota(spark, folder).report.select("target_no", *_CATEGORIES, "wanted", "available", "shortfall")
+
+
+# Problem 5: evaluation texts leaking into training text.
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    items = read_table(spark, folder, "eval_item").select("item_id", F.col("text").alias("item_text"))
+    return leaked_passages(read_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "item_text", Passage(run=10, width=5))
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items and documents that share a run of at least ten words."""
+    return _leaks(spark, folder).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id")).distinct()
+
+
+@query()
+def p5_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaked item with the number of documents that hold some of it and the largest share of its passages that one document holds."""
+    per_doc = _leaks(spark, folder).groupBy("item", "doc").agg(F.count("*").alias("n"), F.first("n_windows").alias("n_windows"))
+    return per_doc.groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max(F.col("n") / F.col("n_windows")), 6).alias("largest_share"))
+
+
+# Problem 6: mixing sources to target weights.
+
+_SQL_SOURCES = """
+    WITH docs AS (
+        SELECT replace(replace(lower(trim(source, ' ' || chr(9))), '-', '_'), ' ', '_') AS s, strlen(text) + 1 AS size FROM documents WHERE text IS NOT NULL),
+    sizes AS (SELECT t.source, t.weight_permille, t.max_repeats, coalesce(sum(d.size), 0)::BIGINT AS size FROM mix_target t LEFT JOIN docs d ON d.s = t.source GROUP BY ALL),
+    whole AS (SELECT sum(size) AS b FROM sizes)
+"""
+
+
+def _mixed(spark: SparkSession, folder: str):
+    source = F.regexp_replace(F.lower(F.regexp_replace("source", "^[ \\t]+|[ \\t]+$", "")), "[- ]", "_")
+    size = F.octet_length("text") + 1
+    language = F.lower(F.trim(F.col("lang")))
+    documents = read_table(spark, folder, "documents")
+    return mixture(documents, "doc_id", size, source, read_table(spark, folder, "mix_target"), below=[language])
+
+
+@query(_SQL_SOURCES + "SELECT source FROM sizes, whole WHERE size * max_repeats * 1000 < weight_permille * b")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't reach their share even with all repeats."""
+    mixed = _mixed(spark, folder)
+    return mixed.report.where(F.col("reachable") * 1000 < F.col("weight_permille") * F.lit(mixed.total)).select("source")
+
+
+@query()
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: documents with source, language, epoch and size."""
+    rows = _mixed(spark, folder).rows
+    return rows.select(F.col("id").alias("doc_id"), F.col("leaf")[0].alias("source"), F.col("leaf")[1].alias("lang"), "epoch", "size")
+
+
+@query()
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Asked, allotted and reached sizes and shares of the sources."""
+    mixed = _mixed(spark, folder)
+    drawn = mixed.rows.groupBy(F.col("leaf")[0].alias("source")).agg(F.sum("size").alias("drawn"), F.max("epoch").alias("epochs"))
+    whole = drawn.agg(F.sum("drawn").alias("whole"))
+    return (
+        mixed.report.join(drawn, "source", "left").crossJoin(F.broadcast(whole))
+        .select("source", "weight_permille", "max_repeats", "size", F.round("budget", 3).alias("budget"), F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("epochs", F.lit(0)).alias("epochs"), F.round(1000 * F.coalesce("drawn", F.lit(0)) / F.col("whole"), 3).alias("reached_permille"))
+    )
