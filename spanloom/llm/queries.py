@@ -207,7 +207,7 @@ def _mixed(spark: SparkSession, folder: str):
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that can't reach their share even with all repeats."""
     mixed = _mixed(spark, folder)
-    return mixed.report.where(F.col("reachable") * 1000 < F.col("weight_permille") * F.lit(mixed.total)).select("source")
+    return mixed.report.where(F.col("reachable") * 1000 < F.col("weight_permille") * F.lit(mixed.total).cast("long")).select("source")
 
 
 @query()
