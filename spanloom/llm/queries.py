@@ -13,6 +13,7 @@ from .crosssplit import SuffixPlan, covered_words, cross_pairs, cross_split_over
 from .leakage import Passage, leaked_passages
 from .mixing import mixture
 from .neardup import Similarity, groups_of, near_duplicates, row_pairs
+from .pii import personal_information
 from .quota import quota_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +228,22 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
         mixed.report.join(drawn, "source", "left").crossJoin(F.broadcast(whole))
         .select("source", "weight_permille", "max_repeats", "size", F.round("budget", 3).alias("budget"), F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("epochs", F.lit(0)).alias("epochs"), F.round(1000 * F.coalesce("drawn", F.lit(0)) / F.col("whole"), 3).alias("reached_permille"))
     )
+
+
+# Problem 7: personal information inside free text.
+
+
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_information(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence of personal information with its kind and place."""
+    return _personal(spark, folder).select(F.col("id").alias("doc_id"), F.explode("found").alias("f")).select("doc_id", "f.kind", "f.start_at")
+
+
+@query()
+def p7_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with placeholders in place of personal information."""
+    return _personal(spark, folder).select(F.col("id").alias("doc_id"), "text", F.size("found").alias("replaced"))
