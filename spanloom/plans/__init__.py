@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with its SQL check."""
 
-from . import audit_q, generate_q, spans_q  # noqa: F401
+from . import audit_q, generate_q, spans_q, traces_q  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
