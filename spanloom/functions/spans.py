@@ -77,9 +77,9 @@ def subtract_spans(a: Column, b: Column) -> Column:
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
-    """The text without the union of the spans. Parts of spans outside the text are ignored."""
+    """The text without the union of the spans. Parts of spans outside the text are ignored; a null text or array gives null."""
     kept = F.transform(gaps(clip_spans(spans, F.lit(0), F.length(text)), F.length(text)), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-    return F.array_join(kept, "")
+    return F.when(text.isNotNull() & spans.isNotNull(), F.array_join(kept, ""))
 
 
 def clip_spans(spans: Column, low: Column, high: Column) -> Column:

@@ -8,7 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import EVENT_KEYS, TAGGER_RECORD, TRACE
 
@@ -59,10 +58,12 @@ def read_html_table(pages: DataFrame, html: str, table_id: str) -> DataFrame:
     span = F.coalesce(F.expr(r"""try_cast(regexp_extract(raw, '(?i)^<t[dh][^>]*rowspan="?(\\d+)', 1) as int)"""), F.lit(1))
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", "(?s)<[^>]+>", ""), r"\s+", " "))
     own = cells.select(*keys, "row", "cell", text.alias("text"), span.alias("span"))
-    carried = own.select(*keys, (F.col("row") + F.explode(F.sequence(F.lit(0), F.col("span") - 1))).alias("row"), F.col("row").alias("from_row"), "cell", "text")
-    # Cells carried down come before the row's own cells that stood at or after their place.
-    order = Window.partitionBy(*keys, "row").orderBy((F.col("from_row") == F.col("row")).cast("int"), "cell", "from_row")
-    return carried.select(*keys, "row", (F.row_number().over(order) - 1).alias("col"), "text")
+    down = own.where("span > 1").select(*keys, F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("span") - 1)).alias("row"), F.col("cell").alias("col"), "text")
+    taken = down.groupBy(*keys, "row").agg(F.collect_set("col").alias("taken"))
+    # A row's own cells fill the places that cells from above leave free.
+    placed = own.join(taken, [*keys, "row"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(0), F.col("cell") + F.size("taken")), "taken")
+    return placed.select(*keys, "row", F.get(free, F.col("cell")).alias("col"), "text").unionByName(down)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
