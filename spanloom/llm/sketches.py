@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -68,18 +69,18 @@ class Bitmap:
 
 
 def blobs(part: str, array: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-    """Non-zero stretches of an array as (part, number, bytes)."""
+    """Non-zero stretches of an array as (part, number, compressed bytes); those of one task are mostly zeros."""
     flat = array.view(np.uint8)
     for k in range(0, len(flat), CHUNK):
         if (stretch := flat[k : k + CHUNK]).any():
-            yield part, k // CHUNK, stretch.tobytes()
+            yield part, k // CHUNK, zlib.compress(stretch.tobytes(), 1)
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     merged: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
         for part, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            raw = np.frombuffer(blob.as_buffer(), np.int32 if part == "counts" else np.uint8)
+            raw = np.frombuffer(zlib.decompress(blob.as_buffer()), np.int32 if part == "counts" else np.uint8)
             if (part, chunk) not in merged:
                 merged[part, chunk] = raw.astype(np.int64) if part == "counts" else raw.copy()
             elif part == "counts":
@@ -89,7 +90,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (part, chunk), total in merged.items():
         raw = np.minimum(total, 2**31 - 1).astype(np.int32) if part == "counts" else total
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.array([chunk], pa.int32()), pa.array([raw.tobytes()], pa.binary())], ["part", "chunk", "blob"]
+            [pa.array([part]), pa.array([chunk], pa.int32()), pa.array([zlib.compress(raw.tobytes(), 1)], pa.binary())], ["part", "chunk", "blob"]
         )
 
 
@@ -100,7 +101,8 @@ def collected(table: DataFrame, arrays: dict[str, np.ndarray]) -> dict[str, np.n
     flat = {name: array.view(np.uint8) for name, array in arrays.items()}
     merged = rows.repartition(32, "part", "chunk").mapInArrow(_merge, BLOB)
     for row in merged.collect():
-        flat[row.part][row.chunk * CHUNK : row.chunk * CHUNK + len(row.blob)] = np.frombuffer(row.blob, np.uint8)
+        stretch = np.frombuffer(zlib.decompress(row.blob), np.uint8)
+        flat[row.part][row.chunk * CHUNK : row.chunk * CHUNK + len(stretch)] = stretch
     return arrays
 
 
