@@ -89,11 +89,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 _SAME = Similarity(width=3, permille=800, min_words=8)
 
 
-def _overlaps(spark: SparkSession, folder: str):
+def _overlaps(spark: SparkSession, folder: str, keep_spans: bool = False):
     records = read_table(spark, folder, "tagger_record").select("row_id", "split", "clean_data", "attacked_data")
     split = cleaned("split")
     side = F.when(split == "train", 0).when(split.endswith("_test"), 1)
-    return cross_split_overlaps(records, "row_id", side, ["clean_data", "attacked_data"], _SAME, SuffixPlan())
+    return cross_split_overlaps(records, "row_id", side, ["clean_data", "attacked_data"], _SAME, SuffixPlan(), keep_spans)
 
 
 @query()
@@ -106,7 +106,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per test split and source_name: records, those that overlap with train, and the mean share of words in spans shared with train."""
-    found = _overlaps(spark, folder)
+    found = _overlaps(spark, folder, keep_spans=True)
     spans = found.spans.groupBy("test", "pos").agg(F.max("length").alias("length"), F.first("words").alias("words"))
     covered = spans.groupBy("test").agg((covered_words(F.collect_list(F.struct("pos", "length"))) / F.first("words")).alias("share"))
     near = found.links.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(found.members.groupBy("sig").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("sig")).distinct().withColumn("hit", F.lit(True))
