@@ -61,6 +61,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over more partitions if the scan has fewer than there are cores, as with a single small file; else ``df`` itself, without a shuffle."""
+    cores, has = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 8 * max(1, has))) if has < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
