@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import broadcast_if_small, written
+from ..shared import broadcast_if_small, spread, written
 from .keys import arrow_rows, window_hashes, word_hashes, words
 from .sketches import BLOB, Bitmap, blobs, collected
 
@@ -131,7 +131,7 @@ def leaked_passages(documents: DataFrame, doc_col: str, text_col: str, items: Da
     each id. Other columns are ignored. The items may outgrow a broadcast: only bitmaps of fixed size are always sent to
     executors, and the join shuffles where the passages are many.
     """
-    docs = documents.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    docs = spread(documents.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null"))
     given = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     windows = written(given.mapInArrow(_windows(how), "item long, pos int, n_windows int, passage long, grams array<long>"), "leak-windows")
     grams = windows.select(F.explode("grams").alias("gram")).distinct()

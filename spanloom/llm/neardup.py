@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import spread, written
 from .keys import Sketch, arrow_rows, shingle_set, signature
 from .sketches import BLOB, SketchBuilder, blobs, collected_sketch
 
@@ -292,7 +292,7 @@ def near_duplicates(
     """
     spark = records.sparkSession
     grp = F.lit("") if group_col is None else F.col(group_col).cast("string")
-    docs = records.select(F.col(id_col).cast("long").alias("id"), grp.alias("grp"), F.explode(F.create_map(*[x for c in text_cols for x in (F.lit(c), F.col(c))])).alias("field", "text"))
+    docs = spread(records.select(F.col(id_col).cast("long").alias("id"), grp.alias("grp"), *(F.col(c).alias(f"_t{k}") for k, c in enumerate(text_cols)))).select("id", "grp", F.explode(F.create_map(*[x for k, c in enumerate(text_cols) for x in (F.lit(c), F.col(f"_t{k}"))])).alias("field", "text"))
     docs = docs.where(F.col("grp").isNotNull() & F.col("text").isNotNull()).select("field", "id", "grp", "text")
     if group_col is None:
         group_of = docs.withColumn("grp", F.col("id").cast("string"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import spread, written
 from .keys import arrow_rows
 from .sketches import BLOB, Bitmap, blobs, collected
 
@@ -242,7 +242,7 @@ def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosures(documents: DataFrame, text_col: str) -> DataFrame:
     """(word, n, capital, given, surname, given_bits, surname_bits) over all words of the corpus: how often each stands there, in the two parts of a person's
     slot and with a capital in either, and the mutual information of word and part in bits (null where it never stands there)."""
-    texts = documents.select(F.col(text_col).alias("text")).where("text is not null")
+    texts = spread(documents.select(F.col(text_col).alias("text")).where("text is not null"))
     counts = written(texts.mapInArrow(_statistics, _STATS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital"), F.sum("given").alias("given"), F.sum("surname").alias("surname")), "pii-words")
     whole = counts.agg(F.sum("n").alias("n"), F.sum("given").alias("given"), F.sum("surname").alias("surname")).first()
     bits = lambda c: F.when(F.col(c) > 0, F.log2(F.col(c) / F.greatest(F.col("n"), F.col(c)) * ((whole["n"] or 1) / max(1, whole[c] or 1))))
@@ -389,5 +389,5 @@ def personal_information(documents: DataFrame, id_col: str, text_col: str, how:
     other = {"given": F.col("given") > F.col("surname"), "surname": F.col("surname") >= F.col("given")}
     revealing = [names_only.where((F.col(f"{name}_bits") >= how.bits) & other[name]).select("word").mapInArrow(_word_bitmap(name, how.seen_bits), BLOB) for name in arrays]
     shared = spark.sparkContext.broadcast(collected(revealing[0].unionAll(revealing[1]), arrays))
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    docs = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"))
     return docs.mapInArrow(_detect(shared, how.seen_bits), "id long, text string, found array<struct<kind:string,start_at:int,end_at:int>>")
