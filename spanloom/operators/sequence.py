@@ -90,7 +90,7 @@ def lineage(values: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataF
 
     ``values`` has id, sources and readers, ``edges`` id and needs. Reachability grows by doubling over written tables, and cycles end it like anything else.
     """
-    from ..shared import written
+    from ..shared import discard, written
 
     reach = written(values.select("id", F.col("id").alias("needs")).unionAll(edges.select("id", "needs")).distinct(), "lineage")
     before = -1
@@ -100,7 +100,9 @@ def lineage(values: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataF
             break
         before = n
         a, b = reach.select("id", F.col("needs").alias("k")), reach.select(F.col("id").alias("k"), "needs")
-        reach = written(reach.unionAll(a.join(b, "k").select("id", "needs")).distinct(), "lineage")
+        grown = written(reach.unionAll(a.join(b, "k").select("id", "needs")).distinct(), "lineage")
+        discard(reach)
+        reach = grown
     own = values.select(F.col("id").alias("needs"), "sources", "readers")
     joined = reach.join(own, "needs")
     union = joined.select("id", F.explode_outer("sources").alias("s")).groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("sources"))

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with its SQL check."""
 
-from . import audit_q, env_q, generate_q, sequence_q, spans_q, stream_q, text_q, traces_q  # noqa: F401
+from . import agents_q, audit_q, env_q, generate_q, sequence_q, spans_q, stream_q, text_q, traces_q  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

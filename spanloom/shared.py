@@ -31,23 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor. The table is removed when the driver ends.
+    This cuts the lineage with files that outlive any executor. The table is removed by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._spanloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave and nothing reads any more."""
+    for table in tables:
+        for entry in [x for x in _written if x[1] == table._spanloom_path]:
+            _written.remove(entry)
+            _remove(*entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def _remove_all() -> None:
     for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            pass
+        _remove(spark, path)
 
 
 atexit.register(_remove_all)
