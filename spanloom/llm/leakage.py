@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shared import broadcast_if_small, spread, written
 from .keys import arrow_rows, window_hashes, word_hashes, words
-from .sketches import BLOB, Bitmap, blobs, collected
+from .sketches import Bitmap, known
 
 
 @dataclass(frozen=True)
@@ -53,23 +53,6 @@ def _windows(how: Passage) -> Callable:
     return run
 
 
-def _bitmap(how: Passage) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Bitmap(how.seen_bits)
-        for batch in batches:
-            seen.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        for blob in blobs("seen", seen.array()):
-            yield _batch([blob], {"part": pa.string(), "chunk": pa.int32(), "blob": pa.binary()})
-
-    return run
-
-
-def _known(grams: DataFrame, how: Passage):
-    """A broadcast bitmap of a column of hashes; its size is fixed."""
-    table = grams.mapInArrow(_bitmap(how), BLOB)
-    return grams.sparkSession.sparkContext.broadcast(collected(table, {"seen": np.zeros(1 << (how.seen_bits - 3), np.uint8)})["seen"])
-
-
 def _counts(how: Passage, shared) -> Callable:
     types = {"gram": pa.int64(), "n": pa.int64()}
 
@@ -135,12 +118,12 @@ def leaked_passages(documents: DataFrame, doc_col: str, text_col: str, items: Da
     given = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     windows = written(given.mapInArrow(_windows(how), "item long, pos int, n_windows int, passage long, grams array<long>"), "leak-windows")
     grams = windows.select(F.explode("grams").alias("gram")).distinct()
-    counts = docs.select("text").mapInArrow(_counts(how, _known(grams, how)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_counts(how, known(grams, how.seen_bits)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts.join(grams, "gram", "left_semi"), "leak-counts")
     # A shingle that no document holds has no count, and its window can stand nowhere.
     each = windows.select("item", "pos", "n_windows", "passage", F.posexplode("grams").alias("off", "gram")).join(counts, "gram", "left")
     rarest = each.groupBy("item", "pos", "n_windows", "passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("r")).where("r.n > 0")
     prefix = written(rarest.select("item", "pos", "n_windows", "passage", "r.gram", "r.off"), "leak-prefix")
-    found = docs.mapInArrow(_occurrences(how, _known(prefix.select("gram").distinct(), how)), "doc long, gram long, around array<long>")
+    found = docs.mapInArrow(_occurrences(how, known(prefix.select("gram").distinct(), how.seen_bits)), "doc long, gram long, around array<long>")
     joined = found.join(broadcast_if_small(prefix, 200_000), "gram")
     return joined.where(F.expr("around[off] = passage")).select("doc", "item", "pos", "n_windows").distinct()

@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread, written
+from ..shared import discard, spread, written
 from .keys import Sketch, arrow_rows, shingle_set, signature
-from .sketches import BLOB, SketchBuilder, blobs, collected_sketch
+from .sketches import BLOB, SketchBuilder, blobs, collected_sketch, prefiltered
 
 
 @dataclass(frozen=True)
@@ -309,9 +309,10 @@ def near_duplicates(
     pairs = written(terms.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("a", "b"), "neardup-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     chosen = members.groupBy("sig").agg(F.min(F.struct("id", "field")).alias("m")).join(wanted, "sig", "left_semi").select("sig", "m.id", "m.field")
-    sets = written(docs.join(chosen, ["id", "field"]).select("sig", "field", "text").mapInArrow(_sets(how), "sig long, grams binary"), "neardup-sets")
+    sets = written(prefiltered(docs, ["id", "field"], chosen).join(chosen, ["id", "field"]).select("sig", "field", "text").mapInArrow(_sets(how), "sig long, grams binary"), "neardup-sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("y")), "b")
     links = written(both.select("a", "b", "x", "y").mapInArrow(_verified(how), "a long, b long, both int, either int"), "neardup-links")
+    discard(pairs, sets)
     return NearDuplicates(members, links)
 
 
@@ -346,10 +347,12 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         large = written(large, "cc-large")
+        discard(edges)
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
         small = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(joined.select(F.col("m").alias("x"), F.col("b").alias("y")))
         edges = written(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "cc-small")
+        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             return edges.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
