@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -109,6 +110,54 @@ _SPANISH = re.compile(r"\b(?:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Ca
 _GERMAN = re.compile(r"(?<![\w-])(?:(?:Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?|Lange[rns]?|Obere[rns]?|Untere[rns]?|Hohe[rns]?|Am|An der|An den|Im|In der|Auf der|Zum|Zur|Sankt|St\.) )?[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.?|gasse|weg|platz|allee|ring|damm|ufer|steig) \d{1,4} ?[a-z]?\b", re.I)
 
 
+#: Literals without which a family of patterns can't match, in lower case.
+_FAMILIES = {
+    "german": ["straße ", "strasse ", "str. ", "str ", "gasse ", "weg ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig "],
+    "spanish": ["calle ", "c/ ", "avda", "avenida ", "av. ", "plaza ", "pza", "paseo ", "camino ", "carrera ", "ronda "],
+    "french": [" rue ", " allée ", " avenue ", " place ", " chemin ", " impasse ", " quai ", " boulevard ", " cours ", " passage ", " route ", " square "],
+    "english": [" street", " st", " road", " rd", " avenue", " ave", " lane", " ln", " drive", " dr", " way", " court", " ct", " close", " place", " pl", " square", " sq", " terrace", " boulevard", " blvd", " crescent", " parkway", " highway", "box ", "postfach ", "apartado "],
+    "identity": [
+        "passport", "ssn", "social security", "tax ", "taxpayer", "tin ", "tin:", "national i", "applicant", "identi", "id number", "id no", "id card", "id document", "ausweis", "passnummer", "reisepass", "steuer", "sozialvers",
+        "passeport", "numéro ", "pasaporte", "dni", "nie ", "nie:", "nif",
+        "número ", "身分証", "パスポート", "旅券", "マイナンバー", "個人番号",
+    ],
+    "cued": ["address ", "address:", "arrived at", "off at", "keys to", "lives at", "deliver"],
+    "slot": [
+        "dr", "mr", "ms", "mx ", "mx.", "prof", "herr", "frau", "mme", "sr ", "sr.", "sra", "dear ", "hello ", "hi ", "liebe", "cher ", "chère ", "estimad", "regards", "best", "sincerely", "yours", "cordialement", "saludo", "atentamente", "grüße",
+        "gruß", "issued to ", "belongs to ", "assigned to ", "spoke with ", "reach ", "contact", "bitte ", "llame a ", "ansprechpartner", "reviewer - ", "担当は", "name", "owner",
+    ],
+}
+
+
+def _automaton() -> ahocorasick.Automaton:
+    words: dict[str, list[str]] = {}
+    for family, literals in _FAMILIES.items():
+        for w in literals:
+            words.setdefault(w, []).append(family)
+    a = ahocorasick.Automaton()
+    for w, families in words.items():
+        a.add_word(w, (len(w), tuple(families)))
+    a.make_automaton()
+    return a
+
+
+_literals = _automaton()
+
+
+def literals(text: str) -> tuple[set[str], list[int] | None]:
+    """Families of patterns that can match a text, and where the literals of slots start in it; null where lower case moves places."""
+    lower = text.lower()
+    if len(lower) != len(text):  # places would not agree
+        return set(_FAMILIES), None
+    families: set[str] = set()
+    at = []
+    for end, (length, hit) in _literals.iter(lower):
+        families.update(hit)
+        if "slot" in hit:
+            at.append(end - length + 1)
+    return families, at
+
+
 @dataclass(frozen=True)
 class Found:
     start: int
@@ -116,8 +165,10 @@ class Found:
     kind: str
 
 
-def structured(text: str) -> list[Found]:
-    """Mail addresses, street addresses, identity numbers and phone numbers, in order, without overlaps; the kinds take precedence in this order."""
+def structured(text: str, families: set[str] | None = None) -> list[Found]:
+    """Mail addresses, street addresses, identity numbers and phone numbers, in order, without overlaps; the kinds take precedence in this order.
+    ``families`` are those of ``literals``, found if not given."""
+    families = literals(text)[0] if families is None else families
     got: list[Found] = []
     taken: list[tuple[int, int]] = []
 
@@ -134,12 +185,12 @@ def structured(text: str) -> list[Found]:
         for m in _SPELT.finditer(text):
             take(*m.span(), "email")
     if any(c.isdigit() for c in text):
-        for pattern in (_ENGLISH, _LOWER, _FRENCH, _SPANISH, _GERMAN):
-            for m in pattern.finditer(text):
+        for family, pattern in (("english", _ENGLISH), ("lower", _LOWER), ("french", _FRENCH), ("spanish", _SPANISH), ("german", _GERMAN)):
+            for m in pattern.finditer(text) if family in families or (family == "lower" and "#" in text) else ():
                 take(*m.span(), "street_address")
-        for m in _CUED.finditer(text):
+        for m in _CUED.finditer(text) if "cued" in families else ():
             take(*m.span(1), "street_address")
-        for m in _ID.finditer(text):
+        for m in _ID.finditer(text) if "identity" in families else ():
             if sum(c.isdigit() for c in m["id"]) >= 5:
                 take(*m.span("id"), "identity_number")
         for m in _ACCOUNT.finditer(text):
@@ -185,9 +236,10 @@ def _before(text: str, end: int, pattern: re.Pattern) -> Iterator[tuple[int, re.
         at = m.start("name") + len(word)
 
 
-def slots(text: str, entities: list[Found]) -> Iterator[tuple[int, re.Match]]:
-    """Names in the slots of a text, as (offset of the match in the text, match); one name may come from several slots."""
-    for cue in _CUE.finditer(text):
+def slots(text: str, entities: list[Found], places: list[int] | None = None) -> Iterator[tuple[int, re.Match]]:
+    """Names in the slots of a text, as (offset of the match in the text, match); one name may come from several slots. ``places`` are those of ``literals``."""
+    cues = _CUE.finditer(text) if places is None else filter(None, (_CUE.match(text, k) for k in sorted(set(places))))
+    for cue in cues:
         if m := _AT_CUE.match(text, cue.end()):
             yield 0, m
     for after in _AFTER.finditer(text):
@@ -221,11 +273,12 @@ def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([n[w] for w in part]), pa.array([capital[w] for w in part]), pa.array([given[w] for w in part]), pa.array([surname[w] for w in part])], list(types))
 
     for (text,) in arrow_rows(batches, "text"):
-        entities = structured(text)
+        families, places = literals(text)
+        entities = structured(text, families)
         found = [_bare(w) for w in _WORD.findall(without(text, entities))]
         n.update(w.lower() for w in found)
         firsts, lasts = set(), set()
-        for lo, m in slots(text, entities):
+        for lo, m in slots(text, entities, places):
             a, b = _parts(m)
             at = lo + m.start("name")
             firsts.update((at, w) for w in a)
@@ -335,9 +388,10 @@ def names(text: str, entities: list[Found], lexicon: Callable[[str], tuple[bool,
 
 def find(text: str, lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
     """All finds of a text in order. A name in a slot counts if one part of it is known: its surname may be the first of its kind."""
-    entities = structured(text)
+    families, places = literals(text)
+    entities = structured(text, families)
     got = [*entities, *names(text, entities, lexicon)]
-    for lo, m in slots(text, entities):
+    for lo, m in slots(text, entities, places):
         start, end = lo + m.start("name"), lo + m.end("name")
         given, last = _parts(m)
         if last and any(lexicon(w.lower())[0] for w in given) and all(end <= f.start or f.end <= start for f in got):
