@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..operators.metrics import grouped_report, span_details, token_labels, token_metrics
+from ..operators.metrics import confusion_metrics, grouped_report, span_details, word_confusion
 from ..operators.validate import validated
 from ..schema import ATTACK_TYPES, CUT_TYPES, POSITIONS, SPLITS, TEXT_FIELDS
-from ..shared import read_table
+from ..shared import read_table, spread
 from .registry import SQL_SPACE, query
 
 
@@ -187,13 +187,8 @@ _SQL_TOKENS = _SQL_TOKENS.replace("<S>", SQL_SPACE).replace("<N>", SQL_SPACE.rep
 )
 def token_report(spark: SparkSession, folder: str) -> DataFrame:
     """Token confusion, F1 of both classes, macro F1 and accuracy by attack type."""
-    from ..functions.text import word_spans
-
-    d = predicted(spark, folder).withColumn("tokens", word_spans(F.col("attacked_data")))
-    labels = lambda tokens, spans: token_labels(tokens, F.col("attacked_data"), F.col(spans), F.lit(0), F.length("attacked_data"))
-    both = S.let(F.col("tokens"), lambda t: F.arrays_zip(labels(t, "truth").alias("label"), labels(t, "pred").alias("prediction")))
-    labelled = d.select("attack_type", F.explode(both).alias("t")).select("attack_type", "t.label", "t.prediction")
-    return token_metrics(labelled, "label", "prediction", ["attack_type"])
+    counts = spread(predicted(spark, folder)).select("attack_type", word_confusion("attacked_data", "truth", "pred").alias("c"))
+    return confusion_metrics(counts.groupBy("attack_type").agg(*(F.sum(f"c.{n}").alias(n) for n in ("n00", "n01", "n10", "n11"))), ["attack_type"])
 
 
 @query()

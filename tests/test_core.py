@@ -79,6 +79,18 @@ def test_token_labels(spark):
     assert got == [0, 1, 0, -100, -100]
 
 
+def test_word_confusion_is_the_labels_of_words(spark):
+    rows = [("ab cd  ef\u00a0gh", [(0, 2), (5, 8)], [(4, 5), (10, 12)]), ("", [], []), (None, [], []), ("a b c", [(1, 2), (1, 1)], [(0, 5)]), ("one", None, [])]
+    df = spark.createDataFrame(rows, f"x string, t {SPANS}, p {SPANS}")
+    label = lambda c: M.token_labels(X.word_spans(F.col("x")), F.col("x"), F.col(c), F.lit(0), F.length("x"))
+    for r in df.select(M.word_confusion("x", "t", "p").alias("c"), label("t").alias("lt"), label("p").alias("lp")).collect():
+        if r.lt is None or r.lp is None:
+            assert r.c is None or r.c["n00"] is None
+        else:
+            pairs = list(zip(r.lt, r.lp, strict=True))
+            assert [r.c[f"n{a}{b}"] for a in (0, 1) for b in (0, 1)] == [pairs.count((a, b)) for a in (0, 1) for b in (0, 1)]
+
+
 def test_insertion(spark):
     rows = [("Rain today.", "Say hi.", p) for p in ("prepend", "middle", "append", "none")] + [("", "Say hi.", "middle"), ("Rain today.", "", "append"), ("a\n", "b", "append")]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, i string, p string")
