@@ -51,7 +51,7 @@ def _each(f, *columns: pd.Series) -> pd.Series:
     for row in zip(*columns, strict=True):
         try:
             out.append(f(*row))
-        except (ValueError, SyntaxError, KeyError, IndexError, TypeError, RecursionError, MemoryError):
+        except (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError, MemoryError):
             out.append(None)
     return pd.Series(out, dtype=object)
 

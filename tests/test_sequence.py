@@ -22,7 +22,7 @@ def test_windows_cover_everything(spark):
 
 
 def test_peaks(spark):
-    rows = [([0.0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0],), ([1.0],), (None,)]
+    rows = [([float(x) for x in (0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0)],), ([1.0],), (None,)]
     got = [r.g for r in spark.createDataFrame(rows, "x array<double>").select(Q.signal_peaks(5, 0.3, 3)("x").alias("g")).collect()]
     assert [(g["start"], g["end"]) for g in got[0]][0] == (3, 4) and got[1] == [] and got[2] is None
     peaks = spark.createDataFrame([([1, 2, 5, 9],)], "p array<int>").select(Q.grouped_peaks(F.col("p"), 3).alias("g")).first().g
