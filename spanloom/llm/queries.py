@@ -35,6 +35,13 @@ def cleaned(label: str) -> F.Column:
     return F.lower(F.trim(F.col(label)))
 
 
+_SQL_WORDS = "list_filter(regexp_split_to_array(lower({t}), '[^\\pL\\pN]+'), lambda x: x <> '')"
+
+
+def _sql_grams(n: int) -> str:
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
 # Problem 1: splitting oversized items at natural boundaries.
 
 _SIZES = Sizes(limit=2000, overlap=100)
@@ -65,6 +72,13 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 # Problem 2: near-duplicate records with small edits.
 
 _EDITS = Similarity(width=3, permille=700, min_words=8)
+_SQL_SIMILAR = f"""
+    w AS (SELECT *, {_SQL_WORDS.format(t="t")} AS w FROM r WHERE t IS NOT NULL),
+    g AS (SELECT DISTINCT row_id, field, part, unnest({_sql_grams(3)}) AS g FROM w WHERE len(w) >= 8),
+    n AS (SELECT row_id, field, count(*) AS n FROM g GROUP BY ALL),
+    j AS (SELECT a.field, a.row_id AS x, b.row_id AS y, count(*) AS k FROM g a JOIN g b USING (field, g) WHERE <pair> GROUP BY ALL),
+    s AS (SELECT j.field, least(x, y) AS row_id_a, greatest(x, y) AS row_id_b, k, p.n + q.n - k AS u FROM j JOIN n p ON p.row_id = x AND p.field = j.field JOIN n q ON q.row_id = y AND q.field = j.field)
+"""
 
 
 def _edited(spark: SparkSession, folder: str):
@@ -72,7 +86,11 @@ def _edited(spark: SparkSession, folder: str):
     return near_duplicates(records, "row_id", ["attacked_data", "inserted_text"], "base_id", _EDITS)
 
 
-@query()
+@query(
+    "WITH r AS (SELECT row_id, base_id AS part, unnest(['attacked_data', 'inserted_text']) AS field, unnest([attacked_data, inserted_text]) AS t FROM tagger_record WHERE base_id IS NOT NULL),"
+    + _SQL_SIMILAR.replace("<pair>", "a.row_id < b.row_id AND a.part <> b.part")
+    + "SELECT field, row_id_a, row_id_b FROM s WHERE 1000 * k >= 700 * u"
+)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of different bases whose texts in a field differ only in small edits."""
     return row_pairs(_edited(spark, folder))
@@ -96,7 +114,12 @@ def _overlaps(spark: SparkSession, folder: str, keep_spans: bool = False):
     return cross_split_overlaps(records, "row_id", side, ["clean_data", "attacked_data"], _SAME, SuffixPlan(), keep_spans)
 
 
-@query()
+@query(
+    "WITH l AS (SELECT *, CASE WHEN lower(trim(split, ' ')) = 'train' THEN 0 WHEN ends_with(lower(trim(split, ' ')), '_test') THEN 1 END AS part FROM tagger_record),"
+    + "r AS (SELECT row_id, part, unnest(['clean_data', 'attacked_data']) AS field, unnest([clean_data, attacked_data]) AS t FROM l WHERE part IS NOT NULL),"
+    + _SQL_SIMILAR.replace("<pair>", "a.part = 1 AND b.part = 0")
+    + "SELECT DISTINCT row_id_a, row_id_b FROM s WHERE 1000 * k >= 800 * u"
+)
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a train and a test record that are the same or nearly so in one field."""
     pairs = cross_pairs(_overlaps(spark, folder))
@@ -173,7 +196,12 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(read_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "item_text", Passage(run=10, width=5))
 
 
-@query()
+@query(
+    f"""
+    WITH i AS (SELECT item_id, {_SQL_WORDS.format(t="text")} AS w FROM eval_item WHERE text IS NOT NULL), d AS (SELECT doc_id, {_SQL_WORDS.format(t="text")} AS w FROM documents WHERE text IS NOT NULL),
+    ig AS (SELECT DISTINCT item_id, unnest({_sql_grams(10)}) AS g FROM i), dg AS (SELECT DISTINCT doc_id, unnest({_sql_grams(10)}) AS g FROM d)
+    SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)"""
+)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items and documents that share a run of at least ten words."""
     return _leaks(spark, folder).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id")).distinct()
