@@ -198,7 +198,7 @@ def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
     from ..functions.text import word_spans
     from ..operators.metrics import threshold_sweep
 
-    d = predicted(spark, folder)
+    d = spread(predicted(spark, folder))
     truth = F.col("truth")
     p = lambda w: F.when(F.exists(truth, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])), 0.55 + 0.45 * uniform(F.concat_ws("-", "row_id", w["start"]), "p")).otherwise(0.6 * uniform(F.concat_ws("-", "row_id", w["start"]), "p"))
     probabilities = F.transform(word_spans(F.col("attacked_data")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.bround(p(w), 4).alias("p")))
