@@ -1,13 +1,14 @@
-"""Same or near-same records across splits, by a partitioned sparse suffix array.
+"""Same or near-same records across splits: pairs by a sparse matrix product of the two sides, shared spans by a suffix array.
 
-The words of all records are one long text with a mark after each record. Suffixes start at anchors: of every ``reach``
-consecutive starts the one whose first ``lead`` words are rarest in the corpus, so any two records that share a run of
-``lead + reach - 1`` words have an anchor of it in common. A suffix is ranked as in prefix doubling, by the hashes of
-its first ``lead``, twice, four and eight times as many words; ordered by these ranks, suffixes with the longest common
-prefixes are neighbours. The array is partitioned by the first rank.
+Pairs: the columns of the incidence matrix of records and shingles are multiplied side by side, evaluation records with
+training records, under the same size-derived bounds as in ``neardup``; no pair of at least the threshold is lost. Pairs that
+survive are compared exactly.
 
-Neighbours from different splits reveal a shared span of the common prefix's length. Spans of a pair of records are
-merged; pairs whose spans cover enough of the evaluation record are compared exactly.
+Spans: the words of all records are one long text with a mark after each record. Suffixes start at anchors: of every ``reach``
+consecutive starts the one whose first shingle is rarest in the corpus, so any two records that share a run of
+``lead + reach - 1`` words (and at least a shingle from each of its starts) have an anchor of it in common. A suffix is ranked as in prefix doubling, by the
+hashes of its first ``lead``, twice, four and eight times as many words. The array is partitioned by the first rank; an
+evaluation suffix has the longest prefix that any training suffix of equal rank shares with it.
 """
 
 from __future__ import annotations
@@ -23,20 +24,19 @@ from pyspark.sql import functions as F
 
 from ..shared import discard, spread, written
 from .keys import Sketch, arrow_rows, mix, signature, window_hashes, word_hashes, words
-from .neardup import Similarity, _batch, _sets, _verified
+from .neardup import Similarity, _batch, _product, _sets, _verified
 from .sketches import BLOB, Bitmap, SketchBuilder, blobs, collected, prefiltered
 
+_ENTRY = np.dtype([("gram", "<u8"), ("sig", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 _SUFFIX = np.dtype([("r0", "<u8"), ("r1", "<u4"), ("r2", "<u4"), ("r3", "<u4"), ("sig", "<i8"), ("pos", "<i4"), ("words", "<i4")])
-_SIDE = 1 << 30  # set in the place of an evaluation suffix
+_SIDE = 1 << 30  # set in the place of an evaluation entry or suffix
 
 
 @dataclass(frozen=True)
 class SuffixPlan:
     """``lead``: words of the first rank. ``reach``: starts among which one is an anchor; texts of up to ``dense``
-    starts have all of theirs. ``fan``: training suffixes a stretch of equal rank may hold for all its pairs to count;
-    larger stretches are told apart by the next rank, and the last rank's by nearest neighbours. ``hot``: count from
-    which a lead's suffixes are partitioned by a longer one and dealt out to ``parts``. ``cover``: thousandths of the evaluation record's words
-    that the merged spans of a pair must cover before it is compared."""
+    starts have all of theirs. ``hot``: count from which the entries of a column and the suffixes of a lead are dealt out to ``parts``,
+    nothing is dropped. ``entries``: entries of the product in a block. ``fan`` and ``cover`` bounded candidates; they have no effect any more, as every pair counts."""
 
     lead: int = 6
     reach: int = 6
@@ -44,6 +44,7 @@ class SuffixPlan:
     fan: int = 24
     hot: int = 20_000
     parts: int = 16
+    entries: int = 300_000
     cover: int = 200
     counts_bits: int = 22
     seen_bits: int = 26
@@ -84,15 +85,15 @@ def _first(how: Similarity, plan: SuffixPlan) -> Callable:
         for field, key, side, text in arrow_rows(batches, "field", "id", "side", "text"):
             if (w := _word_hashes(field, text, how)) is None:
                 continue
-            leads = _leads(w, plan)
-            counts.add(leads)
+            found = _set(field, w, how)
+            counts.add(found)
             if side:
-                held.append(leads)
-                n += len(leads)
+                held.append(found)
+                n += len(found)
                 if n > 500_000:
                     seen.add(np.unique(np.concatenate(held)))
                     held, n = [], 0
-            rows.append((None, None, None, field, key, side, signature(_set(field, w, how)), len(w)))
+            rows.append((None, None, None, field, key, side, signature(found), len(w)))
             if len(rows) == 4096:
                 yield _batch(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
                 rows = []
@@ -115,9 +116,102 @@ def anchors(leads: np.ndarray, count: np.ndarray, allowed: np.ndarray, plan: Suf
     return at[allowed[at]]
 
 
-def _suffixes(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callable:
+def _packed(e: np.ndarray, key: np.ndarray, hot: np.ndarray, plan: SuffixPlan, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Group entries or suffixes by block. Hot keys' go to blocks of their own, dealt out to parts: a training one to one of them, an evaluation one to all."""
     types = {"block": pa.int64(), "blob": pa.binary()}
+    n = np.uint64(blocks)
+    block = (key % n).astype(np.int64)
+    if hot.any():
+        h, k = e[hot], key[hot]
+        test = h["pos"] >= _SIDE
+        every = np.repeat(h[test], plan.parts)
+        part = np.concatenate([(h["sig"][~test].astype(np.uint64) >> np.uint64(17)) % np.uint64(plan.parts), np.tile(np.arange(plan.parts, dtype=np.uint64), int(test.sum()))])
+        own = mix(np.concatenate([k[~test], np.repeat(k[test], plan.parts)])) + part
+        e, block = np.concatenate([e[~hot], h[~test], every]), np.concatenate([block[~hot], (own % n + n).astype(np.int64)])
+    order = np.argsort(block, kind="stable")
+    e, block = e[order], block[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = np.append(cuts[1:], len(e))
+    for k in range(0, len(cuts), 256):
+        yield _batch({"block": block[cuts[k : k + 256]], "blob": [e[a:b].tobytes() for a, b in zip(cuts[k : k + 256], ends[k : k + 256], strict=True)]}, types)
+
+
+def _entries(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callable:
+    """Matrix entries of the necessary columns, packed by block of columns; training records have only those that evaluation records may have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = Sketch(plan.counts_bits, shared.value["counts"]), Bitmap(plan.seen_bits, shared.value["seen"])
+        done: set[tuple[int, int]] = set()
+        held: list[np.ndarray] = []
+        n = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            e = np.concatenate(held)
+            yield from _packed(e, e["gram"], counts.estimate(e["gram"]) > plan.hot, plan, blocks)
+
+        for field, side, text in arrow_rows(batches, "field", "side", "text"):
+            if (w := _word_hashes(field, text, how)) is None:
+                continue
+            found = _set(field, w, how)
+            sig = signature(found)
+            if (sig, side) in done:
+                continue
+            done.add((sig, side))
+            if len(done) > 500_000:
+                done.clear()
+            df = counts.estimate(found)
+            first = np.lexsort((found, df))[: how.prefix(len(found))]
+            useful = df[first] > 1
+            if not side:
+                useful &= seen.has(found[first])
+            e = np.empty(int(useful.sum()), _ENTRY)
+            e["gram"], e["sig"], e["size"], e["pos"] = found[first][useful], sig, len(found), np.flatnonzero(useful) | (_SIDE if side else 0)
+            held.append(e)
+            n += len(e)
+            if n > 400_000:
+                yield from packed()
+                held, n = [], 0
+        if held:
+            yield from packed()
+
+    return run
+
+
+def cross_product(e: np.ndarray, how: Similarity, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms of one block: for each column, pairs of an evaluation and a training record that pass the size and place bounds, as ``block_product`` gives them."""
+    side = e["pos"] >= _SIDE
+    e = e[np.lexsort((e["sig"], side, e["size"], e["gram"]))]
+    side = e["pos"] >= _SIDE
+    new = np.ones(len(e), bool)
+    new[1:] = (e["gram"][1:] != e["gram"][:-1]) | (e["sig"][1:] != e["sig"][:-1]) | (side[1:] != side[:-1])
+    test, train = e[new & side], e[new & ~side]
+    if not len(test) or not len(train):
+        return
+    grams = np.unique(train["gram"])
+    at = np.minimum(np.searchsorted(grams, test["gram"]), len(grams) - 1)
+    test, at = (x[grams[at] == test["gram"]] for x in (test, at))
+    known = np.searchsorted(grams, train["gram"]).astype(np.int64) << 32 | train["size"]
+    size = test["size"].astype(np.int64)
+    at = at.astype(np.int64) << 32
+    lo = np.searchsorted(known, at | -(-how.permille * size // 1000), "left")
+    n = np.searchsorted(known, at | np.minimum(1000 * size // how.permille, (1 << 31) - 1), "right") - lo
+    ends = np.cumsum(n)
+    k = 0
+    while k < len(test):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + chunk, "right")))
+        m = n[k:stop]
+        x = test[np.repeat(np.arange(k, stop), m)]
+        y = train[np.repeat(lo[k:stop] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+        a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
+        asked = how.asked(a, b)
+        floor = how.floor(asked)
+        ok = ((x["pos"] & (_SIDE - 1)) < a - asked + floor) & (y["pos"] < b - asked + floor) & (x["sig"] != y["sig"])
+        if ok.any():
+            yield np.minimum(x["sig"][ok], y["sig"][ok]), np.maximum(x["sig"][ok], y["sig"][ok]), floor[ok]
+        k = stop
+
 
+def _suffixes(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callable:
     mark = np.full(plan.lead * 8, 0x9E3779B97F4A7C15, np.uint64)
     odd = np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,36 +224,26 @@ def _suffixes(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callabl
             found.append((h[at] * odd >> np.uint64(32)).astype(np.uint32))
         return found
 
-    def packed(e: np.ndarray, counts: Sketch) -> Iterator[pa.RecordBatch]:
-        n = np.uint64(blocks)
-        block = (e["r0"] % n).astype(np.int64)
-        if (hot := counts.estimate(e["r0"]) > plan.hot).any():
-            # A hot lead's suffixes go to blocks by a longer prefix, dealt out to parts: a training suffix to one of them, an evaluation suffix to all.
-            h = e[hot]
-            every = np.repeat(h[h["pos"] >= _SIDE], plan.parts)
-            h = np.concatenate([h[h["pos"] < _SIDE], every])
-            part = (h["sig"].astype(np.uint64) >> np.uint64(17)) % np.uint64(plan.parts)
-            part[len(h) - len(every) :] = np.tile(np.arange(plan.parts, dtype=np.uint64), len(every) // plan.parts)
-            deeper = mix(h["r0"] + h["r2"].astype(np.uint64) * np.uint64(31)) + part
-            e, block = np.concatenate([e[~hot], h]), np.concatenate([block[~hot], (deeper % n + n).astype(np.int64)])
-        order = np.argsort(block, kind="stable")
-        e, block = e[order], block[order]
-        cuts = np.flatnonzero(np.diff(block, prepend=-1))
-        ends = np.append(cuts[1:], len(e))
-        for k in range(0, len(cuts), 256):
-            yield _batch({"block": block[cuts[k : k + 256]], "blob": [e[a:b].tobytes() for a, b in zip(cuts[k : k + 256], ends[k : k + 256], strict=True)]}, types)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = Sketch(plan.counts_bits, shared.value["counts"]), Bitmap(plan.seen_bits, shared.value["seen"])
         done: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
+        hot: list[np.ndarray] = []
         n = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            e = np.concatenate(held)
+            key = e["r0"] + np.where(np.concatenate(hot), e["r2"], 0).astype(np.uint64) * np.uint64(31)
+            yield from _packed(e, key, np.concatenate(hot), plan, blocks)
+
         for field, side, text in arrow_rows(batches, "field", "side", "text"):
             if (w := _word_hashes(field, text, how)) is None:
                 continue
             marked = window_hashes(np.concatenate([w, mark]), plan.lead)
             leads = marked[: max(1, len(w) - plan.lead + 1)]
-            allowed = np.ones(len(leads), bool) if side else seen.has(leads)
+            grams = window_hashes(w ^ _salt(field), how.width)[: len(leads)] ^ _salt(field)
+            leads = leads[: len(grams)]
+            allowed = np.ones(len(leads), bool) if side else seen.has(grams)
             if not allowed.any():
                 continue
             sig = signature(_set(field, w, how))
@@ -168,75 +252,50 @@ def _suffixes(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callabl
             done.add((sig, side))
             if len(done) > 500_000:
                 done.clear()
-            at = anchors(leads, counts.estimate(leads), allowed, plan)
+            count = counts.estimate(grams)
+            at = anchors(leads, count, allowed, plan)
             e = np.empty(len(at), _SUFFIX)
             e["r0"], e["sig"], e["pos"], e["words"] = leads[at], sig, at | (_SIDE if side else 0), len(w)
             e["r1"], e["r2"], e["r3"] = ranks(marked, at)
             held.append(e)
+            hot.append(count[at] > plan.hot)
             n += len(e)
             if n > 300_000:
-                yield from packed(np.concatenate(held), counts)
-                held, n = [], 0
+                yield from packed()
+                held, hot, n = [], [], 0
         if held:
-            yield from packed(np.concatenate(held), counts)
+            yield from packed()
 
     return run
 
 
-def cells(pos: np.ndarray, length: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The 64ths of a text of n words that a span touches, as bits; or-ed they merge spans."""
-    n = n.astype(np.int64)
-    lo = 64 * pos.astype(np.int64) // n
-    hi = np.minimum(64, -(-64 * (pos.astype(np.int64) + length) // n))
-    width = (hi - lo).astype(np.uint64)
-    ones = np.where(width >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(width, np.uint64(63))) - np.uint64(1))
-    return (ones << lo.astype(np.uint64)).view(np.int64)
-
-
-def shared_spans(e: np.ndarray, plan: SuffixPlan) -> Iterator[dict[str, np.ndarray]]:
-    """Links between evaluation and training suffixes of one block of the array, with the length of the common prefix
-    in words (as far as the ranks tell it)."""
-    e = np.unique(e)
-    side, pos = e["pos"] >= _SIDE, e["pos"] & (_SIDE - 1)
+def shared_spans(e: np.ndarray, plan: SuffixPlan) -> dict[str, np.ndarray] | None:
+    """Evaluation suffixes of one block of the array that share a prefix with a training suffix, with the length of the longest
+    such prefix in words (as far as the ranks tell it)."""
+    e = e[np.lexsort((e["r3"], e["r2"], e["r1"], e["r0"]))]
+    side = e["pos"] >= _SIDE
     if side.all() or not side.any():
-        return
-    keys = [e[name].astype(np.uint64) for name in ("r0", "r1", "r2", "r3")]
+        return None
+    test = e[side]
+    pos = test["pos"] & (_SIDE - 1)
+    length = np.zeros(len(test), np.int32)
     new = np.zeros(len(e), bool)
-    new[0] = True
-    ids = []
-    for key in keys:
-        new[1:] |= key[1:] != key[:-1]
-        ids.append(np.cumsum(new))
-    test, train = np.flatnonzero(side), np.flatnonzero(~side)
-    for level, rank in enumerate(ids):
-        known = rank[train]
-        lo, hi = np.searchsorted(known, rank[test], "left"), np.searchsorted(known, rank[test], "right")
-        few = (hi - lo <= plan.fan) & (hi > lo)
-        rest = hi - lo > plan.fan
-        if level == len(ids) - 1 and rest.any():
-            # The longest equal prefixes: the nearest neighbours in the order of the array.
-            mid = np.clip(np.searchsorted(train, test), lo, hi)
-            lo = np.where(rest, np.clip(mid - plan.fan // 2, lo, np.maximum(lo, hi - plan.fan)), lo)
-            hi = np.where(rest, np.minimum(lo + plan.fan, hi), hi)
-            few = hi > lo
-        n = np.where(few, hi - lo, 0)
-        for k in range(0, len(test), 50_000):
-            part = slice(k, k + 50_000)
-            if total := int(n[part].sum()):
-                x = np.repeat(test[part], n[part])
-                y = train[np.repeat(lo[part] - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part]) + np.arange(total)]
-                length = np.minimum(plan.lead << level, np.minimum(e["words"][x] - pos[x], e["words"][y] - pos[y]))
-                yield {"test": e["sig"][x], "train": e["sig"][y], "pos": pos[x], "length": length.astype(np.int32), "words": e["words"][x], "cells": cells(pos[x], length, e["words"][x])}
-        test = test[rest]
-        if not len(test):
-            return
+    for level, name in enumerate(("r0", "r1", "r2", "r3")):
+        new[1:] |= e[name][1:] != e[name][:-1]
+        rank = np.cumsum(new)
+        trained = np.zeros(rank[-1] + 1, bool)
+        trained[rank[~side]] = True
+        length[trained[rank[side]]] = plan.lead << level
+    length = np.minimum(length, test["words"] - pos)
+    shared = length > 0
+    return {"test": test["sig"][shared], "pos": pos[shared], "length": length[shared], "words": test["words"][shared]}
 
 
 def _links(plan: SuffixPlan) -> Callable:
-    types = {"test": pa.int64(), "train": pa.int64(), "pos": pa.int32(), "length": pa.int32(), "words": pa.int32(), "cells": pa.int64()}
+    types = {"test": pa.int64(), "pos": pa.int32(), "length": pa.int32(), "words": pa.int32()}
 
     def spans(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for got in shared_spans(np.concatenate(parts), plan):
+        if (got := shared_spans(np.concatenate(parts), plan)) is not None:
             yield _batch(got, types)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +323,8 @@ def covered_words(spans: Column) -> Column:
 
 @dataclass(frozen=True)
 class CrossSplit:
-    """``members``: field, id, side (1 evaluation, 0 training), sig, words. ``spans``: classes test and train with pos and
-    length of a shared span in the evaluation text, words of it. ``links``: classes a < b (either side) with similarity of at least the threshold."""
+    """``members``: field, id, side (1 evaluation, 0 training), sig, words. ``spans``: evaluation classes test with pos and
+    length of a span in the evaluation text that some training text shares, words of it. ``links``: classes a < b (either side) with similarity of at least the threshold."""
 
     members: DataFrame
     spans: DataFrame
@@ -286,17 +345,15 @@ def cross_split_overlaps(records: DataFrame, id_col: str, side: Column, text_col
     members = first.where(F.col("part").isNull()).select("field", "id", "side", "sig", "words")
     merged = collected(first, {"counts": np.zeros(1 << plan.counts_bits, np.int32), "seen": np.zeros(1 << (plan.seen_bits - 3), np.uint8)})
     total = int(merged["counts"][: 1 << (plan.counts_bits - 1)].astype(np.int64).sum())
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000 + 1)
     shared = spark.sparkContext.broadcast(merged)
-    suffixes = docs.mapInArrow(_suffixes(how, plan, shared, blocks), "block long, blob binary")
-    array = suffixes.repartition("block").sortWithinPartitions("block")
-    spans = array.mapInArrow(_links(plan), "test long, train long, pos int, length int, words int, cells long")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = docs.mapInArrow(_suffixes(how, plan, shared, max(partitions, total // 2_000_000 + 1)), "block long, blob binary")
+    spans = suffixes.repartition("block").sortWithinPartitions("block").mapInArrow(_links(plan), "test long, pos int, length int, words int")
     if keep_spans:
         spans = written(spans, "split-spans")
-    # Spans of a pair are merged as 64ths of the evaluation text; a touched 64th counts whole, so no span counts too little.
-    merged_spans = spans.groupBy("test", "train").agg(F.expr("bit_or(cells)").alias("cells"))
-    enough = merged_spans.where(F.expr(f"bit_count(cells) * 1000 >= 64 * {plan.cover}"))
-    pairs = written(enough.select(F.least("test", "train").alias("a"), F.greatest("test", "train").alias("b")).where("a <> b").distinct(), "split-pairs")
+    entries = docs.mapInArrow(_entries(how, plan, shared, max(partitions, total * (1000 - how.permille) // 1000 // plan.entries + 1)), "block long, blob binary")
+    terms = entries.repartition("block").sortWithinPartitions("block").mapInArrow(_product(how, cross_product, _ENTRY), "a long, b long, floor int, n int")
+    pairs = written(terms.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("a", "b"), "split-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     chosen = members.groupBy("sig").agg(F.min(F.struct("id", "field")).alias("m")).join(wanted, "sig", "left_semi").select("sig", "m.id", "m.field")
     sets = written(prefiltered(docs, ["id", "field"], chosen).join(chosen, ["id", "field"]).select("sig", "field", "text").mapInArrow(_sets(how), "sig long, grams binary"), "split-sets")

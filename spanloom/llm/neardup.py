@@ -187,11 +187,11 @@ def block_product(e: np.ndarray, how: Similarity, chunk: int = 2_000_000) -> Ite
         yield tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _product(how: Similarity) -> Callable:
+def _product(how: Similarity, product: Callable = block_product, entry: np.dtype = _ENTRY) -> Callable:
     types = {"a": pa.int64(), "b": pa.int64(), "floor": pa.int32(), "n": pa.int32()}
 
     def terms(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b, floor in block_product(np.concatenate(parts), how):
+        for a, b, floor in product(np.concatenate(parts), how):
             order = np.lexsort((b, a))
             a, b, floor = a[order], b[order], floor[order]
             new = np.ones(len(a), bool)
@@ -210,7 +210,7 @@ def _product(how: Similarity) -> Callable:
                     yield from terms(parts)
                     parts = []
                 now = block
-                parts.append(np.frombuffer(blob.as_buffer(), _ENTRY).copy())
+                parts.append(np.frombuffer(blob.as_buffer(), entry).copy())
         if parts:
             yield from terms(parts)
 

@@ -103,6 +103,25 @@ def test_cross_split_matches_brute_force(spark):
         assert found.spans.where("length < 1 or pos < 0 or pos + length > words").count() == 0
 
 
+def _across(spark, rows, plan):
+    """Pairs found and the pairs of brute force, of rows (id, side, text)."""
+    df = spark.createDataFrame(rows, "row_id int, side int, text string").repartition(3)
+    found = cross_split_overlaps(df, "row_id", F.col("side"), ["text"], Similarity(3, 800, 8), plan)
+    got = {(r.test_id, r.train_id) for r in cross_pairs(found).collect()}
+    sets = [(k, s, _grams(t, 3, 8)) for k, s, t in rows]
+    return found, got, {(k, j) for k, s, x in sets if s for j, t, y in sets if not t and _similar(x, y, 800)}
+
+
+def test_a_template_with_many_training_variants(spark):
+    rng = random.Random(11)
+    parts = [[f"w{k}x{j}" for j in range(41)] for k in range(6)]
+    text = lambda: " ".join(" ".join(p) + f" v{rng.randrange(10**9)}" for p in parts)
+    rows = [(k, 0, text()) for k in range(40)] + [(100, 1, text())]
+    found, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))
+    assert got == want == {(100, k) for k in range(40)}
+    assert found.spans.where("length >= 24").count() > 0
+
+
 def test_pair_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "row_id long, base_id string, split string, attacked_data string")
     assert row_pairs(near_duplicates(empty, "row_id", ["attacked_data"], "base_id", sketch_bits=18)).count() == 0
