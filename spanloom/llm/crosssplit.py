@@ -233,8 +233,7 @@ def _suffixes(how: Similarity, plan: SuffixPlan, shared, blocks: int) -> Callabl
 
         def packed() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(held)
-            key = e["r0"] + np.where(np.concatenate(hot), e["r2"], 0).astype(np.uint64) * np.uint64(31)
-            yield from _packed(e, key, np.concatenate(hot), plan, blocks)
+            yield from _packed(e, e["r0"], np.concatenate(hot), plan, blocks)
 
         for field, side, text in arrow_rows(batches, "field", "side", "text"):
             if (w := _word_hashes(field, text, how)) is None:

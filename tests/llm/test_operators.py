@@ -122,6 +122,22 @@ def test_a_template_with_many_training_variants(spark):
     assert found.spans.where("length >= 24").count() > 0
 
 
+def test_hot_text_with_a_word_in_every_run(spark):
+    base = [f"w{k}" for k in range(300)]
+    test = [w for k in range(0, 300, 23) for w in (f"n{k}", *base[k : k + 23])]
+    rows = [(k, 0, " ".join(base[:299] + [f"end{k}"])) for k in range(20)] + [(100, 1, " ".join(test))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 97)
+    try:
+        found, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20, hot=5, parts=2))
+        assert got == want == {(100, k) for k in range(20)}
+        cold = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))[0]
+        spans = lambda f: {(r.pos, r.length) for r in f.spans.groupBy("pos").agg(F.max("length").alias("length")).collect()}
+        assert spans(found) == spans(cold) and len(spans(cold)) > 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pair_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "row_id long, base_id string, split string, attacked_data string")
     assert row_pairs(near_duplicates(empty, "row_id", ["attacked_data"], "base_id", sketch_bits=18)).count() == 0
