@@ -117,10 +117,12 @@ _FAMILIES = {
     "french": [" rue ", " allée ", " avenue ", " place ", " chemin ", " impasse ", " quai ", " boulevard ", " cours ", " passage ", " route ", " square "],
     "english": [" street", " st", " road", " rd", " avenue", " ave", " lane", " ln", " drive", " dr", " way", " court", " ct", " close", " place", " pl", " square", " sq", " terrace", " boulevard", " blvd", " crescent", " parkway", " highway", "box ", "postfach ", "apartado "],
     "identity": [
-        "passport", "ssn", "social security", "tax ", "taxpayer", "tin ", "tin:", "national i", "applicant", "identi", "id number", "id no", "id card", "id document", "ausweis", "passnummer", "reisepass", "steuer", "sozialvers",
-        "passeport", "numéro ", "pasaporte", "dni", "nie ", "nie:", "nif",
+        "passport", "ssn", "social security", "tax ", "taxpayer", "national i", "applicant", "identi", "id number", "id no", "id card", "id document", "ausweis", "passnummer", "reisepass", "steuer", "sozialvers",
+        "passeport", "numéro ", "pasaporte", "dni", "nif",
         "número ", "身分証", "パスポート", "旅券", "マイナンバー", "個人番号",
     ],
+    "short": ["tin", "nie"],  # cues of identity numbers that stand inside many words, so only a word's start counts
+    "lower": ["box ", "postfach ", "apartado ", "#"],
     "cued": ["address ", "address:", "arrived at", "off at", "keys to", "lives at", "deliver"],
     "slot": [
         "dr", "mr", "ms", "mx ", "mx.", "prof", "herr", "frau", "mme", "sr ", "sr.", "sra", "dear ", "hello ", "hi ", "liebe", "cher ", "chère ", "estimad", "regards", "best", "sincerely", "yours", "cordialement", "saludo", "atentamente", "grüße",
@@ -147,12 +149,14 @@ _literals = _automaton()
 def literals(text: str) -> tuple[set[str], list[int] | None]:
     """Families of patterns that can match a text, and where the literals of slots start in it; null where lower case moves places."""
     lower = text.lower()
-    if len(lower) != len(text):  # places would not agree
+    if len(lower) != len(text) or "ſ" in text or "ı" in text:  # places would not agree; patterns take these for s and i
         return set(_FAMILIES), None
     families: set[str] = set()
     at = []
     for end, (length, hit) in _literals.iter(lower):
         families.update(hit)
+        if "short" in hit and not lower[end - length : end - length + 1].isalnum():
+            families.add("identity")
         if "slot" in hit:
             at.append(end - length + 1)
     return families, at
@@ -186,7 +190,7 @@ def structured(text: str, families: set[str] | None = None) -> list[Found]:
             take(*m.span(), "email")
     if any(c.isdigit() for c in text):
         for family, pattern in (("english", _ENGLISH), ("lower", _LOWER), ("french", _FRENCH), ("spanish", _SPANISH), ("german", _GERMAN)):
-            for m in pattern.finditer(text) if family in families or (family == "lower" and "#" in text) else ():
+            for m in pattern.finditer(text) if family in families else ():
                 take(*m.span(), "street_address")
         for m in _CUED.finditer(text) if "cued" in families else ():
             take(*m.span(1), "street_address")
