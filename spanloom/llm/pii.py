@@ -69,6 +69,7 @@ _SPELT = re.compile(
     rf"|(?<![\w.+%/@-]){_LOCAL}\sat\s(?:{_LABEL}(?:\s?[\[({{]\s?dot\s?[\])}}]\s?|\sdot\s))+[^\W\d_]{{2,}}(?![\w@])",
     re.I,
 )
+_BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)  # without it and without a spelt dot, _SPELT finds no more than _MAIL
 
 # Phone numbers: international with + or 00, national with a leading 0, and ten digits in groups.
 _PHONE = re.compile(
@@ -185,7 +186,7 @@ def structured(text: str, families: set[str] | None = None) -> list[Found]:
     if "@" in text:
         for m in _MAIL.finditer(text):
             take(*m.span(), "email")
-    if "dot" in lower or "at)" in lower or "at]" in lower or "@ " in text:
+    if "dot" in lower or "@ " in text or ("at" in lower and _BRACKETED_AT.search(text)):
         for m in _SPELT.finditer(text):
             take(*m.span(), "email")
     if any(c.isdigit() for c in text):

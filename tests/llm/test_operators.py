@@ -347,6 +347,13 @@ def test_gates_lose_nothing():
         assert [f.kind for f in pii.structured(text)] == ["identity_number"]
 
 
+@pytest.mark.parametrize("at", [f"{b}{o}{s}{w}{e}{c}{b}" for o, c in ("()", "[]", "{}") for s in ("", " ", "\n") for e in ("", " ", "\t") for w in ("at", "AT") for b in ("", " ")])
+def test_spelt_addresses_pass_the_gate(at):
+    for text in (f"jane{at}example.com", f"jane{at}mail.example.com", f"jane{at}example [DOT] com"):
+        assert [(f.start, f.end, f.kind) for f in pii.structured(f"To {text} only")] == [(3, 3 + len(text), "email")]
+        assert pii.sanitised(text, pii.structured(text)) == "[EMAIL]"
+
+
 def test_names_come_from_the_corpus(spark):
     rng = random.Random(8)
     given, last = ["Mara", "Jonas", "Rose", "Ilse"], ["Tolberg", "Vesper", "Quandt", "O'Hallin", "Brinkmoor"]
