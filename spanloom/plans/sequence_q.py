@@ -138,7 +138,7 @@ def call_sources(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS h FROM eval_item) WHERE length(text) < 1000"""
 )
 def html_snippets(spark: SparkSession, folder: str) -> DataFrame:
-    """Plain text and title of pages built from the items."""
-    i = read_table(spark, folder, "eval_item").where(F.length("text") < 1000)
+    """Plain text and title of pages built from the items. The SQL only covers items under 1,000 characters."""
+    i = read_table(spark, folder, "eval_item").where("text is not null")
     page = i.select("item_id", F.concat(F.lit("<h2>"), "benchmark", F.lit("</h2><p>"), escape_xml(F.col("text")), F.lit("</p>")).alias("html"))
-    return page.select("item_id", html_snippet(F.col("html"), 5000).alias("snippet"), html_title(F.col("html")).alias("title"))
+    return page.select("item_id", html_snippet(F.col("html"), 2**31 - 1).alias("snippet"), html_title(F.col("html")).alias("title"))

@@ -186,12 +186,12 @@ def removed_fragments(spark: SparkSession, folder: str) -> DataFrame:
     SELECT source_pair_id, levenshtein(i, b)::INT AS distance, round(greatest(0, least(1, 1 - levenshtein(i, b) / greatest(length(i), length(b), 1))), 6) AS similarity FROM p WHERE i IS NOT NULL AND b IS NOT NULL AND regexp_full_match(i || b, '[\\x01-\\x7f]*')"""
 )
 def sanitizer_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Edit distance and similarity of the two halves of each pair in ASCII."""
+    """Edit distance and similarity in characters of the two halves of each pair. The SQL only covers pairs in ASCII, as its distance counts bytes."""
     from ..functions.text import edit_similarity
 
     s = read_table(spark, folder, "sanitizer_sample")
     p = s.groupBy("source_pair_id").agg(F.max(F.when(F.col("is_injection"), F.col("tool_output"))).alias("i"), F.max(F.when(~F.col("is_injection"), F.col("tool_output"))).alias("b"))
-    p = p.where(F.concat("i", "b").rlike(r"^[\x01-\x7f]*$"))
+    p = p.where(F.col("i").isNotNull() & F.col("b").isNotNull())
     return p.select("source_pair_id", F.levenshtein("i", "b").alias("distance"), F.round(edit_similarity(F.col("i"), F.col("b")), 6).alias("similarity"))
 
 
