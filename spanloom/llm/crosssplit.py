@@ -36,7 +36,7 @@ _SIDE = 1 << 30  # set in the place of an evaluation entry or suffix
 class SuffixPlan:
     """``lead``: words of the first rank. ``reach``: starts among which one is an anchor; texts of up to ``dense``
     starts have all of theirs. ``hot``: count from which the entries of a column and the suffixes of a lead are dealt out to ``parts``,
-    nothing is dropped. ``entries``: entries of the product in a block. ``fan`` and ``cover`` bounded candidates; they have no effect any more, as every pair counts."""
+    nothing is dropped. ``entries``: entries of the product in a block. ``fan`` bounded candidates; it has no effect any more, as every pair counts."""
 
     lead: int = 6
     reach: int = 6
@@ -45,7 +45,6 @@ class SuffixPlan:
     hot: int = 20_000
     parts: int = 16
     entries: int = 300_000
-    cover: int = 200
     counts_bits: int = 22
     seen_bits: int = 26
 

@@ -138,6 +138,13 @@ def test_hot_text_with_a_word_in_every_run(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_a_passage_with_a_line_repeated_many_times(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, 0, passage), (2, 1, passage + " again" * 1000)]
+    _, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))
+    assert got == want == {(2, 1)}
+
+
 def test_pair_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "row_id long, base_id string, split string, attacked_data string")
     assert row_pairs(near_duplicates(empty, "row_id", ["attacked_data"], "base_id", sketch_bits=18)).count() == 0
