@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ class Cell:
 def allocate(cells: list[Cell], n: int) -> dict[int, int]:
     """Integer quotas for a sample of n: floors first (as far as there are ids), then the rest by largest remainder of the
     shares, with availability as a cap. What a full cell can't take goes to the others in proportion to their targets. The sum is n,
-    or what all cells have if that is less, or the sum of floors if that is more. Ties go to the smaller cell number."""
+    or what all cells have if that is less (a cell without a share has its floor), or the sum of floors if that is more. Ties go to the smaller cell number.
+
+    A round settles the cells under their floors if these ask for more than the full cells leave, else the full ones, so none is settled too early."""
     quota = {c.no: min(c.floor, c.available) for c in cells}
     open_cells = sorted(cells, key=lambda c: c.no)
     fixed: dict[int, int] = {}
@@ -39,8 +42,11 @@ def allocate(cells: list[Cell], n: int) -> dict[int, int]:
         weight = sum(c.permille for c in open_cells)
         if rest <= 0 or weight == 0:
             break
-        share = {c.no: c.permille * rest / weight for c in open_cells}
-        bound = {c.no: q for c in open_cells if (q := quota[c.no]) > share[c.no]} or {c.no: c.available for c in open_cells if c.available < share[c.no]}
+        share = {c.no: Fraction(c.permille * rest, weight) for c in open_cells}
+        low = {c.no: q for c in open_cells if (q := quota[c.no]) > share[c.no]}
+        full = {c.no: c.available for c in open_cells if c.available < share[c.no]}
+        over = sum(q - share[k] for k, q in (low | full).items())
+        bound = (low if over >= 0 else {}) | (full if over <= 0 else {})
         if not bound:
             down = {k: int(s) for k, s in share.items()}
             left = rest - sum(down.values())

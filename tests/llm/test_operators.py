@@ -222,6 +222,24 @@ def test_allocation():
     assert allocate([Cell(0, 1000, 0, 3)], 10) == {0: 3} and allocate([], 5) == {} and allocate([Cell(0, 1000, 4, 9)], 0) == {0: 4}
 
 
+def test_allocation_reopens_floors():
+    assert allocate([Cell(0, 900, 0, 5), Cell(1, 100, 20, 1000)], 100) == {0: 5, 1: 95}
+    rng = random.Random(4)
+    for _ in range(2000):
+        cells = [Cell(k, rng.choice([0, 10, 100, 400, 900]), rng.choice([0, 0, 3, 20]), rng.choice([0, 1, 5, 30, 1000])) for k in range(rng.randrange(1, 7))]
+        n = rng.choice([0, 1, 10, 100, 500, 3000])
+        got = allocate(cells, n)
+        least = {c.no: min(c.floor, c.available) for c in cells}
+        most = {c.no: c.available if c.permille else least[c.no] for c in cells}
+        assert all(least[k] <= got[k] <= most[k] for k in got)
+        assert sum(got.values()) == max(sum(least.values()), min(n, sum(most.values())))
+        lo, hi = 0.0, 1e6  # one multiplier of the shares gives all quotas, but for rounding
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(max(mid * c.permille, least[c.no]), most[c.no]) for c in cells) < n else (lo, mid)
+        assert all(abs(got[c.no] - min(max(hi * c.permille, least[c.no]), most[c.no])) < 1 + 1e-6 for c in cells) or n < sum(least.values())
+
+
 def test_quota_sample(spark):
     rng = random.Random(2)
     rows = [(f"i{k}", rng.choice(["A", " a", "B ", "b", None, "other"]), rng.choice(["X", "Y"]), k) for k in range(3000)] + [("i1", "A", "X", 0), (None, "A", "X", 1)]
