@@ -284,7 +284,7 @@ def near_duplicates(
     """Classes of records and all links between classes with similarity of at least the threshold.
 
     ``id_col`` must be a unique integer. With ``group_col``, records of one group aren't compared with each other and records
-    with a null group take no part. Null texts and texts under ``how.min_words`` words take no part. Empty tables give
+    with a null group take no part; without it, each record is a group of its own. Null texts and texts under ``how.min_words`` words take no part. Empty tables give
     empty results. Very long texts are processed whole. Other columns are ignored, whatever their names.
 
     ``hot_column`` is the count from which a column's entries are dealt out to ``hot_parts`` parts, whose pairs are
@@ -298,7 +298,7 @@ def near_duplicates(
         group_of = docs.withColumn("grp", F.col("id").cast("string"))
     else:
         group_of = docs
-    keyed = written(docs.mapInArrow(_keyed(how, sketch_bits), _KEYED), "neardup-keys")
+    keyed = written(group_of.mapInArrow(_keyed(how, sketch_bits), _KEYED), "neardup-keys")
     members = keyed.where(F.col("part").isNull()).select("field", "id", "grp", "sig", "size")
     sketch = collected_sketch(keyed, sketch_bits)
     total = int(sketch.counts[: 1 << (sketch_bits - 1)].sum())

@@ -82,6 +82,15 @@ def test_near_duplicate_groups(spark):
     assert all(same(a, b) == (label[a] == label[b]) for a in sets for b in sets)
 
 
+def test_row_pairs_without_groups(spark):
+    rows = _corpus()
+    df = spark.createDataFrame(rows, "row_id int, base_id string, attacked_data string")
+    got = [(r.row_id_a, r.row_id_b) for r in row_pairs(near_duplicates(df, "row_id", ["attacked_data"], None, Similarity(3, 700, 8), sketch_bits=18)).collect()]
+    sets = [(k, _grams(t, 3, 8)) for k, _, t in rows]
+    want = {(min(k, j), max(k, j)) for i, (k, s) in enumerate(sets) for j, t in sets[:i] if _similar(s, t, 700)}
+    assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     labels = {r.sig: r.label for r in components(links).collect()}
