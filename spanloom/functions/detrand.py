@@ -12,6 +12,12 @@ def uniform(key: Column, purpose: str, seed: int = 7) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def random_key(key: Column, purpose: str, seed: int = 7) -> Column:
+    """A key in [0, 2 ** 60) for random orders, from the first 15 digits of an MD5 hash; plain SQL can order by the digits."""
+    text = F.concat_ws("|", key.cast("string"), F.lit(purpose), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def below(key: Column, purpose: str, n: Column | int, seed: int = 7) -> Column:
     """An integer in [0, n)."""
     return F.floor(uniform(key, purpose, seed) * n).cast("int")
