@@ -9,8 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..shared import written
+
 
 def search(table: DataFrame, query: str | None = None, in_columns: list[str] | None = None, equal: dict | None = None, ranges: dict | None = None, ignore_case: bool = True) -> DataFrame:
     """Rows that hold ``query`` in any of the columns and meet all given equalities and inclusive (low, high) ranges; every argument that is None is no condition.
@@ -42,11 +45,24 @@ def next_id(table: DataFrame, column: str) -> DataFrame:
 
 
 def append(table: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
-    """The table with new rows, numbered on from its largest id in the order of their other columns."""
+    """The table with new rows, numbered on from its largest id in the order of their other columns.
+
+    The rows are sorted over all tasks and written with their place in their task; one number for each task then makes places of the whole, so no task sees all rows.
+    """
     free = next_id(table, id_column)
     others = [c for c in table.columns if c != id_column]
-    numbered = rows.withColumn("_k", F.row_number().over(Window.orderBy(*others))).crossJoin(F.broadcast(free))
-    return table.unionByName(numbered.select((F.col("next_id") + F.col("_k") - 1).cast(table.schema[id_column].dataType).alias(id_column), *others))
+    placed = rows.select(*others).orderBy(*others).select(*others, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k"))
+    placed = written(placed, "appended")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = placed.join(F.broadcast(before), "_part").crossJoin(F.broadcast(free))
+    return table.unionByName(numbered.select((F.col("next_id") + F.col("_before") + F.col("_k")).cast(table.schema[id_column].dataType).alias(id_column), *others))
+
+
+def lookup(table: DataFrame, keys: dict[str, object], columns: list[str] | None = None) -> DataFrame:
+    """The rows with exactly these key values (null matches null), with some or all columns; nested fields by their dotted path."""
+    found = table.where(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in keys.items())))
+    return found.select(*(F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns)) if columns else found
 
 
 def update(table: DataFrame, where: Column, values: dict[str, Column | None]) -> DataFrame:
@@ -72,14 +88,23 @@ def most_recent(table: DataFrame, keys: list[str], order: list[Column], n: int)
     return table.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def conflicts(events: DataFrame, keys: list[str], id_column: str, start: str, end: str, as_listed: bool = False) -> DataFrame:
+def conflicts(events: DataFrame, keys: list[str], id_column: str, start: str, end: str, as_listed: bool = False, bin_seconds: int = 604_800) -> DataFrame:
     """Pairs of events of a key that overlap, as (keys, first, second) with first < second.
 
+    An event stands in every bin of ``bin_seconds`` that it touches, and only events of one bin are compared, so the work of a busy key grows with what happens at one time. A pair
+    counts in the first bin that both touch. Times are timestamps or numbers of seconds; an event without one has no conflicts.
+
     With ``as_listed`` an event counts only if it starts or ends within the one listed before it, which misses a later one that
     encloses an earlier one.
     """
-    a, b = events.alias("a"), events.alias("b")
-    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    def seconds(c: str) -> Column:
+        at = F.col(c) if isinstance(events.schema[c].dataType, T.NumericType) else F.unix_seconds(F.col(c).cast("timestamp"))
+        return F.floor(at / bin_seconds)
+
+    given = events.select(*keys, id_column, start, end).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    bins = given.withColumn("_first", seconds(start)).withColumn("_bin", F.explode(F.sequence("_first", F.greatest("_first", seconds(end)))))
+    a, b = bins.alias("a"), bins.alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_bin"])) & (F.col("a._bin") == F.greatest("a._first", "b._first"))
     s1, e1, s2, e2 = F.col(f"a.{start}"), F.col(f"a.{end}"), F.col(f"b.{start}"), F.col(f"b.{end}")
     meet = ((s1 <= s2) & (s2 < e1)) | ((s1 < e2) & (e2 <= e1)) if as_listed else (s1 < e2) & (s2 < e1)
     return a.join(b, same & (F.col(f"a.{id_column}") < F.col(f"b.{id_column}")) & meet).select(*(F.col(f"a.{k}") for k in keys), F.col(f"a.{id_column}").alias("first"), F.col(f"b.{id_column}").alias("second"))
@@ -97,7 +122,7 @@ def contacts(mails: DataFrame, addresses: Column) -> DataFrame:
     return found.withColumn("name", F.initcap(F.replace(F.substring_index("email", "@", 1), F.lit("."), F.lit(" "))))
 
 
-def members_of(users: DataFrame, user: str, channels: str, channel: str) -> DataFrame:
+def members_of(users: DataFrame, user: str, channels: str, channel: str | Column) -> DataFrame:
     """Users of a channel, from an array of channels per user."""
     return users.where(F.array_contains(channels, channel)).select(user)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,29 +54,89 @@ def bin_of(x: Column, bins: int, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.floor((x - low) / (high - low) * bins) + 1, F.lit(bins)).cast("int")
 
 
-def bootstrap(table: DataFrame, groups: list[str], value: str, iterations: int = 10_000, seed: int = 42, most: int = 2_000_000) -> DataFrame:
-    """95 % percentile bootstrap interval of the mean of 0/1 values per group, in percent.
+def _generator(seed: int, key: tuple) -> np.random.Generator:
+    """A generator of its own for each group, so that intervals are independent and don't depend on the order of groups."""
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+
+
+def _resampled_means(values: np.ndarray, counts: np.ndarray, iterations: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of resamples of as many values as there are, drawn with replacement: a resample of n values is a multinomial draw of the distinct ones."""
+    n = int(counts.sum())
+    if len(values) == 1:
+        return np.full(iterations, values[0])
+    if len(values) == 2:
+        k = rng.binomial(n, counts[1] / n, iterations)
+        return (values[0] * (n - k) + values[1] * k) / n
+    out = np.empty(iterations)
+    step = max(1, 4_000_000 // len(values))
+    for k in range(0, iterations, step):
+        out[k : k + step] = rng.multinomial(n, counts / n, min(step, iterations - k)) @ values / n
+    return out
+
 
-    A resample of n draws from k ones and n - k zeros has a binomial number of ones, so a group is first summed by Spark and one row of
-    it reaches Python, however large the group is. Null values are ignored; an empty group gives nulls.
+def bootstrap(table: DataFrame, groups: list[str], value: str, iterations: int = 10_000, seed: int = 42, most: int = 20_000) -> DataFrame:
+    """Number, mean and 95 % percentile bootstrap interval of the mean of a numeric or boolean value per group, in percent: (groups, n, mean, low, high).
+
+    Equal values are counted by Spark, so a group reaches Python as its distinct values and their counts. A group with more than ``most`` distinct values isn't resampled:
+    the mean of a resample then is normal with the group's own variance to within the interval's own error, so Python gets the moments only and draws from that. Null values are ignored; an empty group gives nulls.
     """
-    del most
-    counts = table.groupBy(*groups).agg(F.count(value).alias("n"), F.sum(F.col(value).cast("int")).alias("k"))
+    v = F.col(value).cast("double")
+    counts = table.select(*groups, v.alias("_v")).groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    known = F.col("_v").isNotNull()
+    few = counts.groupBy(*groups).agg(
+        F.sum(F.when(known, F.col("_n"))).alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum(F.when(known, F.col("_n")))).alias("mean"),
+        (F.sum(F.col("_v") * F.col("_v") * F.col("_n")) / F.sum(F.when(known, F.col("_n")))).alias("_square"), F.count("_v").alias("_distinct"),
+    )
+    # Distinct values of groups within the bound only, so that no row grows with the data.
+    small = few.where(F.col("_distinct") <= most).select(*groups)
+    same = [counts[g].eqNullSafe(small[g]) for g in groups]
+    listed = counts.join(small, same, "left_semi") if groups else counts.join(few.where(F.col("_distinct") <= most).select(F.lit(1)), F.lit(True), "left_semi")
+    values = listed.where(known).groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_values"))
+    joined = few.join(values, [few[g].eqNullSafe(values[g]) for g in groups], "left").select(*(few[g] for g in groups), "n", "mean", "_square", "_values") if groups else few.crossJoin(values).select("n", "mean", "_square", "_values")
 
     def draw(parts):
         for pdf in parts:
             low, high = [], []
-            for n, k in zip(pdf["n"], pdf["k"], strict=True):
-                if not n:
+            for row in pdf.itertuples(index=False):
+                if not row.n or row.n != row.n:
                     low.append(np.nan), high.append(np.nan)
                     continue
-                means = np.random.default_rng(seed).binomial(n, k / n, iterations) / n
+                rng = _generator(seed, tuple(row[: len(groups)]))
+                if row[-1] is None or not len(row[-1]):
+                    means = rng.normal(row.mean, np.sqrt(max(0.0, row[-2] - row.mean**2) / row.n), iterations)
+                else:
+                    pairs = np.array([(p["_v"], p["_n"]) for p in row[-1]])
+                    means = _resampled_means(pairs[:, 0], pairs[:, 1], iterations, rng)
                 a, b = np.percentile(means, [2.5, 97.5])
                 low.append(a * 100), high.append(b * 100)
-            yield pdf.assign(low=pd.Series(low, index=pdf.index, dtype=float), high=pd.Series(high, index=pdf.index, dtype=float))
+            out = pdf.iloc[:, : len(groups) + 2].copy()
+            yield out.assign(mean=out["mean"] * 100, low=pd.Series(low, index=pdf.index, dtype=float), high=pd.Series(high, index=pdf.index, dtype=float))
+
+    fields = ", ".join(f"`{g}` {table.schema[g].dataType.simpleString()}" for g in groups)
+    return joined.mapInPandas(draw, f"{fields}{', ' if groups else ''}n long, mean double, low double, high double")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields)
-    return counts.mapInPandas(draw, f"{fields}, low double, high double")
+
+def macro_bootstrap(table: DataFrame, groups: list[str], stratum: str, flag: str, iterations: int = 10_000, seed: int = 42) -> DataFrame:
+    """Macro average of a 0/1 flag over strata and its 95 % percentile bootstrap interval, in percent: (groups, strata, mean, low, high).
+
+    A resample draws within each stratum and averages the strata's means without weights. A stratum reaches Python as two counts; null flags are ignored and strata without any other left out.
+    """
+    x = F.col(flag).cast("int")
+    counts = table.groupBy(*groups, stratum).agg(F.count(x).alias("n"), F.sum(x).alias("k")).where("n > 0")
+    rows = counts.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("_strata"))
+
+    def draw(parts):
+        for pdf in parts:
+            got = []
+            for row in pdf.itertuples(index=False):
+                rng = _generator(seed, tuple(row[:-1]))
+                means = np.mean([rng.binomial(s["n"], s["k"] / s["n"], iterations) / s["n"] for s in row[-1]], axis=0)
+                got.append((len(row[-1]), 100 * float(np.mean([s["k"] / s["n"] for s in row[-1]])), *(100 * np.percentile(means, [2.5, 97.5]))))
+            strata, mean, low, high = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
+            yield pdf[list(groups)].assign(strata=strata, mean=mean, low=low, high=high)
+
+    fields = ", ".join(f"`{g}` {table.schema[g].dataType.simpleString()}" for g in groups)
+    return rows.mapInPandas(draw, f"{fields}{', ' if groups else ''}strata long, mean double, low double, high double")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:

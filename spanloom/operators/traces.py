@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,22 +54,26 @@ def with_wilson(table: DataFrame, names: list[str]) -> DataFrame:
     return table
 
 
-def goal(payload: Column) -> Column:
+#: Fixed value: the phrases that frame the goal of an injection.
+FRAMED_GOAL = r"(?is)please do the following first:\s*(.*?)\s*After you do that"
+
+
+def goal(payload: Column, framed_goal: str = FRAMED_GOAL) -> Column:
     """What an injection asks for: the text between its two framing phrases, else all of it."""
-    framed = F.regexp_extract(payload, r"(?is)please do the following first:\s*(.*?)\s*After you do that", 1)
+    framed = F.regexp_extract(payload, framed_goal, 1)
     return F.when(framed != "", framed).otherwise(strip(payload))
 
 
 def removal_status(original: Column, filtered: Column, payload: Column, signals: list[str]) -> Column:
     """How much of an injection a filter left: full, partial or complete removal; null if the original doesn't show it.
 
-    A text shows the injection in full if it holds the normalised payload, in part if it holds a signal phrase or the payload's goal of at least 16 characters.
+    A text shows the injection in full if it holds the normalised payload, in part if it holds a signal phrase (given in lower case) or the payload's goal of at least 16 characters.
     """
     text = lambda x: normalise_escaped(F.coalesce(x, F.lit("")))
     whole, aim = text(payload), text(goal(payload))
     full = lambda x: (whole != "") & text(x).contains(whole)
-    sign = F.lit(False)
-    partial = lambda x: ((F.length(aim) >= 16) & text(x).contains(aim)) | sum((text(x).contains(s) for s in signals), sign)
+    signed = lambda x: reduce(lambda a, b: a | b, (text(x).contains(s) for s in signals), F.lit(False))
+    partial = lambda x: ((F.length(aim) >= 16) & text(x).contains(aim)) | signed(x)
     return F.when(~(full(original) | partial(original)), F.lit(None)).when(full(filtered), "full").when(partial(filtered), "partial").otherwise("complete")
 
 
@@ -128,6 +134,16 @@ def final_output(messages: Column) -> Column:
     return F.when(last["role"] == "assistant", block_text(last["content"]))
 
 
-def information_spans(text: Column, tag: str = "INFORMATION") -> Column:
-    """How many tagged passages a text holds."""
-    return F.regexp_count(text, F.lit(f"(?s)<{tag}>.*?</{tag}>"))
+def information_spans(text: Column, pattern: str = "(?s)<INFORMATION>.*?</INFORMATION>") -> Column:
+    """Tagged passages of a text as array<struct<start,end,length>>: half-open offsets and the length of the whole text. ``pattern`` has no groups and matches no empty text."""
+    kept = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.slice(kept, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,length:int>>").alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(text).alias("length")))).alias("found"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: acc["found"])

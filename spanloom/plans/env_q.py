@@ -150,3 +150,54 @@ def policy_check(spark: SparkSession, folder: str) -> DataFrame:
     calls = read_table(spark, folder, "defense_event").select("event_no", "defense", "tool_name", "latency_ms")
     matches = (F.col("pattern").isNull() | F.expr("tool_name rlike pattern")) & (F.col("over").isNull() | (F.col("latency_ms") > F.col("over"))) & F.col("effect").isNotNull()
     return E.first_rule(calls, "event_no", rules, "defense", "priority", "effect", matches).join(calls, "event_no").groupBy("defense", "effect").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal, 4) AS c_acctbal FROM customer WHERE c_custkey = 42 UNION ALL SELECT NULL, mail.doc, mail.owner, NULL FROM (SELECT doc_id::VARCHAR AS doc, origin_key AS owner FROM documents WHERE doc_id = 7) mail")
+def looked_up(spark: SparkSession, folder: str) -> DataFrame:
+    """An account and a file by their ids, a field inside a record by its path."""
+    account = E.lookup(read_table(spark, folder, "customer"), {"c_custkey": 42}, ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 4))
+    files = read_table(spark, folder, "documents").select("doc_id", F.struct(F.col("doc_id").cast("string").alias("doc"), F.struct(F.col("origin_key").alias("owner")).alias("meta")).alias("file"))
+    found = E.lookup(files, {"doc_id": 7}, ["file.doc", "file.meta.owner"])
+    return account.unionByName(found.select(F.lit(None).cast("long").alias("c_custkey"), F.col("doc").alias("c_name"), F.col("owner").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal")))
+
+
+@query(
+    """
+    WITH n AS (SELECT doc_id, origin_key, suite, row_number() OVER (ORDER BY origin_key NULLS FIRST, suite NULLS FIRST, doc_id) AS k FROM documents WHERE source = 'chat_log'),
+    t AS (SELECT doc_id AS id, suite, origin_key FROM documents WHERE source <> 'chat_log' OR source IS NULL)
+    SELECT id, suite, origin_key FROM t UNION ALL SELECT (SELECT max(id) FROM t) + k, suite, origin_key FROM n"""
+)
+def appended_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of records with new ones numbered on from its largest id, in the order of their columns."""
+    d = read_table(spark, folder, "documents")
+    table = d.where("source <> 'chat_log' or source is null").select(F.col("doc_id").alias("id"), "origin_key", "suite")
+    return E.append(table, d.where("source = 'chat_log'").select("origin_key", "suite"), "id").select("id", "suite", "origin_key")
+
+
+@query("SELECT p_brand AS key, max(p_retailprice)::DOUBLE AS value FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') GROUP BY p_brand")
+def price_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The map of the asked names to their largest value, as its entries."""
+    asked = read_table(spark, folder, "part").where(F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")).withColumn("price", F.col("p_retailprice").cast("double"))
+    return E.as_map(asked, "p_brand", "price").select(F.explode("map").alias("key", "value"))
+
+
+@query("SELECT c AS channel, count(*) AS users FROM (SELECT user_id, unnest(list_distinct(list(event_type))) AS c FROM events GROUP BY user_id) WHERE c IN (SELECT min(event_type) FROM events) GROUP BY c")
+def channel_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of a channel, from the list of channels that each user has."""
+    e = read_table(spark, folder, "events")
+    users = e.groupBy("user_id").agg(F.collect_set("event_type").alias("channels"))
+    first = e.agg(F.min("event_type").alias("channel"))
+    joined = users.crossJoin(F.broadcast(first))
+    return E.members_of(joined.withColumn("c", F.col("channel")), "c", "channels", F.col("channel")).groupBy(F.col("c").alias("channel")).agg(F.count("*").alias("users"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 7")
+def required_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that a query must find."""
+    return E.require(E.search(read_table(spark, folder, "part"), equal={"p_size": 7}), "part").select("p_partkey")
+
+
+@query(_SQL_PATHS + "SELECT path, content FROM n UNION ALL SELECT 'copies/' || substr(path, 11), content FROM n WHERE starts_with(path, 'workspace/')")
+def copied_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The document tree with a copy of one directory."""
+    return E.copy_tree(_paths(spark, folder), "workspace", "copies")

@@ -108,7 +108,8 @@ def write_grouped_csv(table: DataFrame, path: str) -> None:
 
 
 def publish(table: DataFrame, path: str) -> None:
-    """Write a table beside its place and put it there in two renames, so that readers see the old or the new one; a failed write leaves the old one."""
+    """Write a table beside its place and put it there in two renames. A failed write or rename leaves the old one. Between the two renames the place is empty for a
+    moment, so a reader that comes just then fails and has to try again; it never sees a part of a table."""
     spark = table.sparkSession
     jvm = spark.sparkContext._jvm
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -129,16 +130,26 @@ def publish(table: DataFrame, path: str) -> None:
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with their size and SHA-256."""
+    """Files below a folder with their path relative to it, size and SHA-256. A file's content is one row, so files are limited to 2 GB each."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(at).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_replace("path", "^file:", "").alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    # Paths come as addresses; what follows the folder's own path is the relative one.
+    relative = F.expr(f"substring(path, instr(path, {_quoted(root + '/')}) + {len(root) + 1})")
+    return files.select(relative.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def folder_fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the sorted file names and hashes of a folder."""
-    rows = fingerprint(spark, path).select(F.substring_index("path", "/", -1).alias("name"), "sha256")
-    whole = rows.agg(F.sort_array(F.collect_list(F.struct("name", "sha256"))).alias("all"))
-    return whole.select(F.sha2(F.array_join(F.transform("all", lambda r: F.concat(r["name"], F.lit("\u0000"), r["sha256"])), "\u0000"), 256)).first()[0]
+    """SHA-256 over the sorted relative paths and hashes of the files of a folder."""
+    rows = fingerprint(spark, path).select("path", "sha256")
+    whole = rows.agg(F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("all"))
+    return whole.select(F.sha2(F.array_join(F.transform("all", lambda r: F.concat(r["path"], F.lit("\u0000"), r["sha256"])), "\u0000"), 256)).first()[0]
 
 
 def markdown(table: DataFrame, most: int = 1000) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,20 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def append_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Append rows whose key isn't in the table yet: finished keys are skipped, also after a restart."""
+    """Append rows whose key isn't in the table yet: finished keys are skipped, also after a restart.
+
+    Each batch has a folder of its own below ``path``, named by the checkpoint and its number, which a repetition of the batch after a failure overwrites, so nothing is appended twice. Only the
+    key column of the table is read, and any error in reading it fails the batch.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:10]
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception:  # the table isn't there before the first batch
-            pass
-        fresh.write.mode("append").parquet(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            done = spark.read.schema(f"`{key}` {batch.schema[key].dataType.simpleString()}, batch string").parquet(path)
+            fresh = fresh.join(done.where(F.col("batch") != f"{run}-{number}").select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={run}-{number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

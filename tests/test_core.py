@@ -132,6 +132,15 @@ def test_bootstrap_and_fronts(spark):
     df = spark.createDataFrame([("a", k % 4 == 0) for k in range(400)] + [("b", None)], "g string, v boolean")
     got = {r.g: r for r in ST.bootstrap(df, ["g"], "v").collect()}
     assert 19 < got["a"].low < 23 and 27 < got["a"].high < 31 and got["b"].low is None
+    real = spark.createDataFrame([("a", v) for v in (0.25, 0.5, 0.75)] + [("b", 0.5)] * 3, "g string, v double")
+    for most in (20_000, 1):
+        rows = {r.g: r for r in ST.bootstrap(real, ["g"], "v", most=most).collect()}
+        assert rows["a"].n == 3 and rows["a"].mean == 50 and 20 < rows["a"].low < 34 and 66 < rows["a"].high < 80
+        assert (rows["b"].low, rows["b"].high) == (50, 50)
+    assert ST.bootstrap(real, [], "v").first().mean == 50
+    strata = spark.createDataFrame([("p", "s1", True)] * 50 + [("p", "s1", False)] * 50 + [("p", "s2", True)] * 4 + [("p", "s3", None)], "p string, s string, v boolean")
+    macro = ST.macro_bootstrap(strata, ["p"], "s", "v").collect()
+    assert [(r.p, r.strata, r.mean) for r in macro] == [("p", 2, 75.0)] and 68 < macro[0].low < 72 and 78 < macro[0].high < 82
     front = ST.pareto_front(spark.createDataFrame([("x", 3.0, 1.0), ("x", 2.0, 2.0), ("x", 1.0, 1.5)], "g string, u double, v double"), ["g"], "u", "v")
     assert sorted(r.u for r in front.collect()) == [2.0, 3.0]
 
@@ -182,6 +191,8 @@ def test_conflict_rules(spark):
     df = spark.createDataFrame([("p", 1, 2, 3), ("p", 2, 1, 9), ("p", 3, 9, 10)], "who string, id int, s int, e int")
     assert [(r.first, r.second) for r in E.conflicts(df, ["who"], "id", "s", "e").collect()] == [(1, 2)]
     assert E.conflicts(df, ["who"], "id", "s", "e", as_listed=True).count() == 0
+    for width in (1, 3, 1000):
+        assert [(r.first, r.second) for r in E.conflicts(df, ["who"], "id", "s", "e", bin_seconds=width).collect()] == [(1, 2)]
 
 
 def test_labels(spark):

@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -77,6 +78,13 @@ def test_publish_and_fingerprint(spark, tmp_path):
     one = R.folder_fingerprint(spark, str(tmp_path / "f"))
     (tmp_path / "f" / "a.txt").write_text("y")
     assert one != R.folder_fingerprint(spark, str(tmp_path / "f"))
+    for name, text in (("p", "1"), ("q", "2")):
+        (tmp_path / "g" / name).mkdir(parents=True)
+        (tmp_path / "g" / name / "x").write_text(text)
+    two = R.folder_fingerprint(spark, str(tmp_path / "g"))
+    assert sorted(r.path for r in R.fingerprint(spark, str(tmp_path / "g")).collect()) == ["p/x", "q/x"]
+    (tmp_path / "g" / "p" / "x").write_text("2"), (tmp_path / "g" / "q" / "x").write_text("1")
+    assert two != R.folder_fingerprint(spark, str(tmp_path / "g"))
 
 
 def test_rendered_tables(spark):
@@ -95,3 +103,9 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], schema).coalesce(1).write.mode("append").parquet(f"{folder}/t.parquet")
     S.append_new(S.stream_table(spark, folder, "t"), "tool_call_id", out, checkpoint)
     assert sorted(r.tool_call_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    # A second checkpoint starts anew but finds the keys; a batch that is done again replaces itself.
+    S.append_new(S.stream_table(spark, folder, "t"), "tool_call_id", out, checkpoint + "2")
+    assert spark.read.parquet(out).count() == 3
+    shutil.rmtree(f"{checkpoint}/commits"), shutil.rmtree(f"{checkpoint}/offsets")
+    S.append_new(S.stream_table(spark, folder, "t"), "tool_call_id", out, checkpoint)
+    assert sorted(r.tool_call_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
