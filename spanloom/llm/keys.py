@@ -58,16 +58,6 @@ def window_hashes(w: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def shingle_set(text: str | None, width: int, min_words: int) -> np.ndarray | None:
-    """Sorted distinct shingle hashes, or None for a null text or one under ``min_words`` words."""
-    if text is None:
-        return None
-    found = words(text)
-    if len(found) < max(min_words, width):
-        return None
-    return np.unique(window_hashes(word_hashes(found), width))
-
-
 def signature(sorted_set: np.ndarray) -> int:
     """A signed 64-bit name of a shingle set; texts with equal sets share it."""
     return int(np.int64(_U(xxhash.xxh3_64_intdigest(sorted_set.tobytes()))))
@@ -95,12 +85,42 @@ class Sketch:
         a, b = sketch_slots(h, self.bits)
         return np.minimum(self.counts[a], self.counts[b])
 
+    def excess(self, h: np.ndarray) -> np.ndarray:
+        """The estimate without the mean load of a counter. A full sketch gives every hash a high estimate, but only hashes that are
+        far more common than the rest have an excess, so what is done for them stays rare at any size of the corpus."""
+        return self.estimate(h) - int(self.counts[: 1 << (self.bits - 1)].mean())
+
     def chunks(self, size: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
         for k in range(0, len(self.counts), size):
             if (part := self.counts[k : k + size]).any():
                 yield k // size, part
 
 
+def sketch_size(words: int, least: int = 18, most: int = 24) -> int:
+    """Bits of a sketch for a corpus of so many words: some 32 to a counter, as long as the sketch stays within 2 ** ``most`` counters (64 MB)."""
+    return min(most, max(least, (max(words, 1) // 32).bit_length() + 1))
+
+
+def bitmap_size(hashes: int, least: int = 18, most: int = 28) -> int:
+    """Bits of a bitmap for so many hashes: 8 to 16 of them to each hash, as long as it stays within 2 ** ``most`` bits (32 MB)."""
+    return min(most, max(least, (8 * max(hashes, 1)).bit_length()))
+
+
+def deal(gram: np.ndarray, own: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of entries of hot columns, self-joined: each entry, in part ``own`` of its column's ``parts``, goes to the block of each pair of
+    parts that it belongs to. Gives (index of the entry, block), block a 62-bit number of column and pair."""
+    at = np.repeat(np.arange(len(gram)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
+    block = mix(gram[at] + mix((lo.astype(np.uint64) << _U(32)) + hi.astype(np.uint64) + _U(1)))
+    return at, (block >> _U(2)).astype(np.int64)
+
+
+def bin_bits(rows: int, per_bin: int = 4096, least: int = 4, most: int = 20) -> int:
+    """Bits of a random key that divide so many rows into bins of about ``per_bin``."""
+    return min(most, max(least, (rows // per_bin).bit_length()))
+
+
 def arrow_rows(batches: Iterable, *names: str) -> Iterator[tuple]:
     """Rows of Arrow record batches as tuples of Python values, a thousand at a time."""
     for batch in batches:

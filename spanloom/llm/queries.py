@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared import read_table
 from .chunking import Sizes, all_pieces, split_oversized
-from .crosssplit import SuffixPlan, covered_words, cross_pairs, cross_split_overlaps
+from .crosssplit import SuffixPlan, cross_pairs, cross_split_overlaps
 from .leakage import Passage, leaked_passages
 from .mixing import mixture
 from .neardup import Similarity, groups_of, near_duplicates, row_pairs
@@ -107,11 +107,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 _SAME = Similarity(width=3, permille=800, min_words=8)
 
 
-def _overlaps(spark: SparkSession, folder: str, keep_spans: bool = False):
+def _overlaps(spark: SparkSession, folder: str, spans: bool = False):
     records = read_table(spark, folder, "tagger_record").select("row_id", "split", "clean_data", "attacked_data")
     split = cleaned("split")
     side = F.when(split == "train", 0).when(split.endswith("_test"), 1)
-    return cross_split_overlaps(records, "row_id", side, ["clean_data", "attacked_data"], _SAME, SuffixPlan(), keep_spans)
+    return cross_split_overlaps(records, "row_id", side, ["clean_data", "attacked_data"], _SAME, SuffixPlan(), spans)
 
 
 @query(
@@ -126,15 +126,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("test_id", "train_id").alias("row_id_a"), F.greatest("test_id", "train_id").alias("row_id_b"))
 
 
-@query()
+@query(
+    "WITH l AS (SELECT *, CASE WHEN lower(trim(split, ' ')) = 'train' THEN 0 WHEN ends_with(lower(trim(split, ' ')), '_test') THEN 1 END AS part FROM tagger_record),"
+    + "r AS (SELECT row_id, part, unnest(['clean_data', 'attacked_data']) AS field, unnest([clean_data, attacked_data]) AS t FROM l WHERE part IS NOT NULL),"
+    + _SQL_SIMILAR.replace("<pair>", "a.part = 1 AND b.part = 0")
+    + f""",
+    hit AS (SELECT DISTINCT x AS row_id FROM (SELECT j.x, k, p.n + q.n - k AS u FROM j JOIN n p ON p.row_id = x AND p.field = j.field JOIN n q ON q.row_id = y AND q.field = j.field) WHERE 1000 * k >= 800 * u),
+    starts AS (SELECT row_id, field, part, w, unnest(range(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 8),
+    run AS (SELECT row_id, field, part, i, array_to_string(w[i:i + 5], ' ') AS g FROM starts),
+    known AS (SELECT DISTINCT row_id, field, i FROM run WHERE part = 1 AND (field, g) IN (SELECT (field, g) FROM run WHERE part = 0)),
+    covered AS (SELECT row_id, field, count(DISTINCT i + o) AS n FROM known, range(6) o(o) GROUP BY ALL),
+    share AS (SELECT row_id, max(c.n / len(w.w)) AS share FROM covered c JOIN w USING (row_id, field) GROUP BY ALL)
+    SELECT lower(trim(split, ' ')) AS split, source_name, count(*) AS records, count(hit.row_id) AS overlapping, round(avg(coalesce(share, 0)), 6) AS mean_shared
+    FROM tagger_record t LEFT JOIN hit USING (row_id) LEFT JOIN share USING (row_id) WHERE ends_with(lower(trim(split, ' ')), '_test') GROUP BY ALL"""
+)
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per test split and source_name: records, those that overlap with train, and the mean share of words in spans shared with train."""
-    found = _overlaps(spark, folder, keep_spans=True)
-    spans = found.spans.groupBy("test", "pos").agg(F.max("length").alias("length"), F.first("words").alias("words"))
-    covered = spans.groupBy("test").agg((covered_words(F.collect_list(F.struct("pos", "length"))) / F.first("words")).alias("share"))
-    near = found.links.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(found.members.groupBy("sig").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("sig")).distinct().withColumn("hit", F.lit(True))
-    test = found.members.where("side = 1").join(covered.withColumnRenamed("test", "sig"), "sig", "left").join(near, "sig", "left")
-    per_row = test.groupBy("id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.max(F.coalesce("share", F.lit(0.0))).alias("share"))
+    """Per test split and source_name: records, those that overlap with train, and the mean share of words that train holds in runs of six words or more."""
+    found = _overlaps(spark, folder, spans=True)
+    near = found.links.select(F.col("test").alias("sig")).unionAll(found.members.groupBy("sig").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("sig")).distinct().withColumn("hit", F.lit(True))
+    test = found.members.where("side = 1").join(found.spans.select("seq", "covered"), "seq", "left").join(near, "sig", "left")
+    share = F.coalesce(F.col("covered") / F.col("words"), F.lit(0.0))
+    per_row = test.groupBy("id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.max(share).alias("share"))
     rows = read_table(spark, folder, "tagger_record").where(cleaned("split").endswith("_test"))
     rows = rows.select(F.col("row_id").alias("id"), cleaned("split").alias("split"), "source_name")
     return (

@@ -106,6 +106,11 @@ def collected(table: DataFrame, arrays: dict[str, np.ndarray]) -> dict[str, np.n
     return arrays
 
 
+def corpus_words(docs: DataFrame) -> int:
+    """About how many words the texts of ``docs`` have; counted in the JVM, for the size of a sketch."""
+    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
+
+
 def collected_sketch(table: DataFrame, bits: int) -> Sketch:
     return Sketch(bits, collected(table, {"counts": np.zeros(1 << bits, np.int32)})["counts"])
 

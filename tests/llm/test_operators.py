@@ -2,16 +2,19 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import chunking as C
 from spanloom.llm import pii
-from spanloom.llm.crosssplit import SuffixPlan, cross_pairs, cross_split_overlaps
+from spanloom.llm.crosssplit import _SUFFIX, SuffixPlan, cross_pairs, cross_split_overlaps, ranks, suffix_ranks
+from spanloom.llm.keys import Sketch
 from spanloom.llm.leakage import Passage, leaked_passages
 from spanloom.llm.mixing import Node, mixture, spread
-from spanloom.llm.neardup import Similarity, components, groups_of, near_duplicates, row_pairs
+from spanloom.llm.neardup import _ENTRY, Similarity, block_product, components, groups_of, near_duplicates, packed_entries, row_pairs
 from spanloom.llm.quota import Cell, allocate, quota_sample
 
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("lor", "mit", "nex", "pur", "qua", "rim", "sol", "tav", "wex", "zon")]
@@ -58,7 +61,7 @@ def test_near_duplicates_match_brute_force(spark, width, permille, hot):
     rows = _corpus()
     df = spark.createDataFrame([(*r, "noise", 1) for r in rows], "row_id int, base_id string, attacked_data string, sig string, grp int").repartition(3)
     how = Similarity(width, permille, 8)
-    found = near_duplicates(df, "row_id", ["attacked_data"], "base_id", how, hot_column=hot, hot_parts=3, entries_per_block=500, sketch_bits=18)
+    found = near_duplicates(df, "row_id", ["attacked_data"], "base_id", how, hot_column=hot, entries_per_block=500, sketch_bits=18)
     got = {(r.row_id_a, r.row_id_b) for r in row_pairs(found).collect()}
     sets = [(k, b, _grams(t, width, 8)) for k, b, t in rows if b is not None]
     want = {(min(k, j), max(k, j)) for i, (k, b, s) in enumerate(sets) for j, c, t in sets[:i] if b != c and _similar(s, t, permille)}
@@ -103,19 +106,108 @@ def test_cross_split_matches_brute_force(spark):
     df = spark.createDataFrame([(k, t, "train" if k % 3 else " Sep_Test", None) for k, _, t in rows], "row_id int, clean_data string, split string, id string").repartition(3)
     split = F.lower(F.trim("split"))
     side = F.when(split == "train", 0).when(split.endswith("_test"), 1)
-    for plan in (SuffixPlan(counts_bits=18, seen_bits=20), SuffixPlan(counts_bits=18, seen_bits=20, fan=2, hot=5)):
+    for plan in (SuffixPlan(), SuffixPlan(hot=2, entries=500), SuffixPlan(hot=2, counts_bits=6, seen_bits=6)):
         found = cross_split_overlaps(df, "row_id", side, ["clean_data"], Similarity(3, 800, 8), plan)
         got = {(r.test_id, r.train_id) for r in cross_pairs(found).collect()}
         sets = [(k, _grams(t, 3, 8)) for k, _, t in rows]
         want = {(k, j) for k, s in sets if k % 3 == 0 for j, t in sets if j % 3 and _similar(s, t, 800)}
         assert got == want and len(want) > 50
-        assert found.spans.where("length < 1 or pos < 0 or pos + length > words").count() == 0
 
 
-def _across(spark, rows, plan):
+def _shared_words(rows, lead):
+    """Word places of evaluation texts in runs of ``lead`` words that some training text holds, of rows (id, side, text)."""
+    split = {k: re.findall(r"[^\W_]+", t.lower()) for k, _, t in rows if t is not None}
+    split = {k: w for k, w in split.items() if len(w) >= 8}
+    known = {tuple(w[i : i + lead]) for k, s, _ in rows if not s and k in split for w in [split[k]] for i in range(len(w) - lead + 1)}
+    return {k: {j for i in range(len(split[k]) - lead + 1) if tuple(split[k][i : i + lead]) in known for j in range(i, i + lead)} for k, s, _ in rows if s and k in split}
+
+
+def _spans(found):
+    """The same from the operator: places by record."""
+    rows = found.members.where("side = 1").join(found.spans, "seq", "left").collect()
+    for r in rows:
+        assert r.covered == (sum(x.length for x in r.spans) if r.spans else None)
+        assert all(a.pos + a.length < b.pos for a, b in zip(r.spans or [], (r.spans or [])[1:], strict=False))
+    return {r.id: {j for x in r.spans or [] for j in range(x.pos, x.pos + x.length)} for r in rows}
+
+
+@pytest.mark.parametrize("plan", [SuffixPlan(), SuffixPlan(hot_starts=2, entries=300), SuffixPlan(lead=4, counts_bits=6, seen_bits=6, hot_starts=2)])
+def test_spans_match_brute_force(spark, plan):
+    rows = [(k, int(k % 3 == 0), t) for k, _, t in _corpus(60, 9)]
+    df = spark.createDataFrame(rows, "row_id int, side int, text string").repartition(3)
+    found = cross_split_overlaps(df, "row_id", F.col("side"), ["text"], Similarity(3, 800, 8), plan, spans=True)
+    want = _shared_words(rows, plan.lead)
+    assert _spans(found) == want and sum(map(len, want.values())) > 1000
+
+
+def test_ranks_tell_common_prefixes():
+    w = np.arange(1, 60, dtype=np.uint64)
+    v = np.concatenate([w[:17], [np.uint64(99)], w[18:]])
+    e = np.zeros(2, _SUFFIX)
+    for k, text in enumerate((w, v)):
+        e["r0"][k] = 5
+        e["r1"][k], e["r2"][k], e["r3"][k] = (r[0] for r in ranks(text, np.array([0]), 3))
+    _, stretch = suffix_ranks(e)
+    assert [bool(s[0] == s[1]) for s in stretch] == [True, True, True, False]  # 17 words: 3, 6 and 12 are common, 24 aren't
+
+
+def test_a_thousand_near_copies_of_one_text(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    variant = lambda k: " ".join(base[: (j := rng.randrange(150))] + [f"n{k}"] + base[j + 1 :])
+    rows = [(k, 0, variant(k)) for k in range(1000)] + [(5000, 1, " ".join(base))]
+    for plan in (SuffixPlan(), SuffixPlan(hot=50)):
+        _, got, want = _across(spark, rows, plan)
+        assert got == want == {(5000, k) for k in range(1000)}
+
+
+@pytest.mark.parametrize("partitions", [4, 200])
+def test_many_short_near_copies_at_any_number_of_partitions(spark, partitions):
+    base = " ".join(f"w{k}" for k in range(11))
+    rows = [(k, 0, f"{base} last{k}") for k in range(21_000)] + [(50_000, 1, f"{base} last")]
+    df = spark.createDataFrame(rows, "row_id int, side int, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        pairs = cross_pairs(cross_split_overlaps(df, "row_id", F.col("side"), ["text"], Similarity(3, 800, 8), SuffixPlan(hot=5_000)))
+        assert pairs.where("test_id = 50000").select("train_id").distinct().count() == pairs.count() == 21_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_full_sketch_deals_out_only_what_stands_out():
+    rng = np.random.default_rng(1)
+    counts = Sketch(8)
+    grams = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    counts.add(grams)
+    e = np.zeros(5_000, _ENTRY)
+    e["gram"], e["sig"] = grams[:5_000], np.arange(5_000)
+    assert counts.estimate(grams).min() > 1000 > counts.excess(grams).max()
+    copies = sum(len(x.as_py()) for b in packed_entries(e, counts, 10, 1000) for x in b.column(2)) / _ENTRY.itemsize
+    assert copies == 5_000
+    counts.add(np.full(20_000, grams[0]))
+    blocks = [(p, len(x.as_py()) // _ENTRY.itemsize) for b in packed_entries(e, counts, 10, 1000) for p, x in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+    parts = max(p for p, _ in blocks)
+    assert 18 <= parts <= 22 and sum(n for p, n in blocks if p == 1) >= 4_900
+
+
+def test_parts_of_a_hot_column_give_each_pair_once():
+    e = np.zeros(300, _ENTRY)
+    e["gram"], e["sig"], e["grp"], e["size"] = 77, np.arange(300) * 1_000_003, np.arange(300), 50
+    counts = Sketch(8)
+    counts.add(np.full(300, np.uint64(77)))
+    n = Counter()
+    for b in packed_entries(e, counts, 10, 60):
+        for p, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for a, c, _ in block_product(np.frombuffer(x.as_py(), _ENTRY), Similarity(3, 700, 8), p):
+                n.update(zip(a.tolist(), c.tolist(), strict=True))
+    assert len(n) == 300 * 299 // 2 and set(n.values()) == {1}
+
+
+def _across(spark, rows, plan, spans=False):
     """Pairs found and the pairs of brute force, of rows (id, side, text)."""
     df = spark.createDataFrame(rows, "row_id int, side int, text string").repartition(3)
-    found = cross_split_overlaps(df, "row_id", F.col("side"), ["text"], Similarity(3, 800, 8), plan)
+    found = cross_split_overlaps(df, "row_id", F.col("side"), ["text"], Similarity(3, 800, 8), plan, spans)
     got = {(r.test_id, r.train_id) for r in cross_pairs(found).collect()}
     sets = [(k, s, _grams(t, 3, 8)) for k, s, t in rows]
     return found, got, {(k, j) for k, s, x in sets if s for j, t, y in sets if not t and _similar(x, y, 800)}
@@ -126,9 +218,9 @@ def test_a_template_with_many_training_variants(spark):
     parts = [[f"w{k}x{j}" for j in range(41)] for k in range(6)]
     text = lambda: " ".join(" ".join(p) + f" v{rng.randrange(10**9)}" for p in parts)
     rows = [(k, 0, text()) for k in range(40)] + [(100, 1, text())]
-    found, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))
+    found, got, want = _across(spark, rows, SuffixPlan())
     assert got == want == {(100, k) for k in range(40)}
-    assert found.spans.where("length >= 24").count() > 0
+    assert found.links.where("longest >= 12").count() > 0
 
 
 def test_hot_text_with_a_word_in_every_run(spark):
@@ -138,11 +230,9 @@ def test_hot_text_with_a_word_in_every_run(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", 97)
     try:
-        found, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20, hot=5, parts=2))
+        found, got, want = _across(spark, rows, SuffixPlan(hot=5, hot_starts=5), spans=True)
         assert got == want == {(100, k) for k in range(20)}
-        cold = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))[0]
-        spans = lambda f: {(r.pos, r.length) for r in f.spans.groupBy("pos").agg(F.max("length").alias("length")).collect()}
-        assert spans(found) == spans(cold) and len(spans(cold)) > 30
+        assert _spans(found) == _shared_words(rows, 6)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -150,15 +240,17 @@ def test_hot_text_with_a_word_in_every_run(spark):
 def test_a_passage_with_a_line_repeated_many_times(spark):
     passage = " ".join(f"w{k}" for k in range(60))
     rows = [(1, 0, passage), (2, 1, passage + " again" * 1000)]
-    _, got, want = _across(spark, rows, SuffixPlan(counts_bits=18, seen_bits=20))
+    _, got, want = _across(spark, rows, SuffixPlan())
     assert got == want == {(2, 1)}
 
 
 def test_pair_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "row_id long, base_id string, split string, attacked_data string")
     assert row_pairs(near_duplicates(empty, "row_id", ["attacked_data"], "base_id", sketch_bits=18)).count() == 0
-    nothing = cross_split_overlaps(empty, "row_id", F.lit(1), ["attacked_data"], plan=SuffixPlan(counts_bits=18, seen_bits=20))
+    nothing = cross_split_overlaps(empty, "row_id", F.lit(1), ["attacked_data"], plan=SuffixPlan())
     assert cross_pairs(nothing).count() == 0
+    spans = cross_split_overlaps(empty, "row_id", F.lit(1), ["attacked_data"], spans=True).spans
+    assert spans.count() == 0
 
 
 TEXTS = [
