@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread, written
+from ..shared import discard, spread, written
 from .keys import arrow_rows
 from .sketches import BLOB, Bitmap, blobs, collected
 
@@ -69,7 +69,7 @@ _SPELT = re.compile(
     rf"|(?<![\w.+%/@-]){_LOCAL}\sat\s(?:{_LABEL}(?:\s?[\[({{]\s?dot\s?[\])}}]\s?|\sdot\s))+[^\W\d_]{{2,}}(?![\w@])",
     re.I,
 )
-_BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)  # without it and without a spelt dot, _SPELT finds no more than _MAIL
+_SPELT_SIGN = re.compile(r"[\[({]\s?at\s?[\])}]|[\s\[({]dot[\s\])}]", re.I)  # without it, _SPELT finds no more than _MAIL
 
 # Phone numbers: international with + or 00, national with a leading 0, and ten digits in groups.
 _PHONE = re.compile(
@@ -145,16 +145,19 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _literals = _automaton()
+ALL_FAMILIES = frozenset([*_FAMILIES, "spelt"])
 
 
 def literals(text: str) -> tuple[set[str], list[int] | None]:
     """Families of patterns that can match a text, and where the literals of slots start in it; null where lower case moves places."""
     lower = text.lower()
     if len(lower) != len(text) or "ſ" in text or "ı" in text:  # places would not agree; patterns take these for s and i
-        return set(_FAMILIES), None
-    families: set[str] = set()
+        return set(ALL_FAMILIES), None
+    families: set[str] = {"spelt"} if _SPELT_SIGN.search(text) else set()
     at = []
     for end, (length, hit) in _literals.iter(lower):
+        if hit in (("german",), ("lower",)) and not lower[end + 1 : end + 2].isdigit():  # a number follows
+            continue
         families.update(hit)
         if "short" in hit and not lower[end - length : end - length + 1].isalnum():
             families.add("identity")
@@ -182,13 +185,10 @@ def structured(text: str, families: set[str] | None = None) -> list[Found]:
             taken.append((start, end))
             got.append(Found(start, end, kind))
 
-    lower = text.lower()
-    if "@" in text:
-        for m in _MAIL.finditer(text):
-            take(*m.span(), "email")
-    if "dot" in lower or "@ " in text or ("at" in lower and _BRACKETED_AT.search(text)):
-        for m in _SPELT.finditer(text):
-            take(*m.span(), "email")
+    for m in _MAIL.finditer(text) if "@" in text else ():
+        take(*m.span(), "email")
+    for m in _SPELT.finditer(text) if "spelt" in families else ():
+        take(*m.span(), "email")
     if any(c.isdigit() for c in text):
         for family, pattern in (("english", _ENGLISH), ("lower", _LOWER), ("french", _FRENCH), ("spanish", _SPANISH), ("german", _GERMAN)):
             for m in pattern.finditer(text) if family in families else ():
@@ -261,61 +261,88 @@ class Disclosure:
     seen_bits: int = 24
 
 
-_STATS = "word string, n long, capital long, given long, surname long"
+_FIRST = "h long, n long, capital long, given long, surname long, id long, text string, entities array<struct<start:int,end:int,kind:string>>, slots array<struct<start:int,end:int,given:array<string>,last:boolean>>"
+_ENTITY = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+_SLOT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("given", pa.list_(pa.string())), ("last", pa.bool_())]))
+_FIRST_TYPES = {"h": pa.int64(), "n": pa.int64(), "capital": pa.int64(), "given": pa.int64(), "surname": pa.int64(), "id": pa.int64(), "text": pa.string(), "entities": _ENTITY, "slots": _SLOT}
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"word": pa.string(), "n": pa.int64(), "capital": pa.int64(), "given": pa.int64(), "surname": pa.int64()}
+def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts: what has a form of its own and the names in slots are kept with the text, and the hashes of words are counted."""
     n: Counter = Counter()
     capital: Counter = Counter()
     given: Counter = Counter()
     surname: Counter = Counter()
+    rows: list[tuple] = []
+    held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         keys = list(n.keys() | given.keys() | surname.keys())
         for k in range(0, len(keys), 10_000):
             part = keys[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([n[w] for w in part]), pa.array([capital[w] for w in part]), pa.array([given[w] for w in part]), pa.array([surname[w] for w in part])], list(types))
+            h = np.fromiter(map(_hash, part), np.uint64, len(part)).view(np.int64)
+            none = [None] * len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, *([c[w] for w in part] for c in (n, capital, given, surname)), none, none, none, none), _FIRST_TYPES.values(), strict=True)], list(_FIRST_TYPES))
+
+    def kept() -> pa.RecordBatch:
+        none = [None] * len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, none, *zip(*rows, strict=True)), _FIRST_TYPES.values(), strict=True)], list(_FIRST_TYPES))
 
-    for (text,) in arrow_rows(batches, "text"):
+    for key, text in arrow_rows(batches, "id", "text"):
         families, places = literals(text)
         entities = structured(text, families)
-        found = [_bare(w) for w in _WORD.findall(without(text, entities))]
-        n.update(w.lower() for w in found)
-        firsts, lasts = set(), set()
+        n.update(_WORD.findall(without(text, entities)))
+        firsts, lasts, found = set(), set(), []
         for lo, m in slots(text, entities, places):
             a, b = _parts(m)
             at = lo + m.start("name")
             firsts.update((at, w) for w in a)
             lasts.update((at, w) for w in b)
+            found.append({"start": at, "end": lo + m.end("name"), "given": [w.lower() for w in a], "last": bool(b)})
         given.update(w.lower() for _, w in firsts)
         surname.update(w.lower() for _, w in lasts)
         capital.update(w.lower() for _, w in firsts | lasts if w[0].isupper())
+        rows.append((key, text, [{"start": e.start, "end": e.end, "kind": e.kind} for e in entities], found))
+        held += len(text)
         if len(n) > 300_000:
+            n = _lowered(n)
             yield from flush()
             n.clear(), capital.clear(), given.clear(), surname.clear()
+        if held > 2_000_000 or len(rows) == 1000:
+            yield kept()
+            rows, held = [], 0
+    n = _lowered(n)
     yield from flush()
+    if rows:
+        yield kept()
+
 
+def _lowered(n: Counter) -> Counter:
+    """Counts of words as they stand, as counts of lower-cased words without a leading O' or D'; done once for each spelling and not for each occurrence."""
+    out: Counter = Counter()
+    for w, k in n.items():
+        out[_bare(w).lower()] += k
+    return out
 
-def disclosures(documents: DataFrame, text_col: str) -> DataFrame:
-    """(word, n, capital, given, surname, given_bits, surname_bits) over all words of the corpus: how often each stands there, in the two parts of a person's
+
+def disclosures(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written counts, and (h, n, capital, given, surname, given_bits, surname_bits) over all words of the corpus, told by hash: how often each stands there, in the two parts of a person's
     slot and with a capital in either, and the mutual information of word and part in bits (null where it never stands there)."""
-    texts = spread(documents.select(F.col(text_col).alias("text")).where("text is not null"))
-    counts = written(texts.mapInArrow(_statistics, _STATS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital"), F.sum("given").alias("given"), F.sum("surname").alias("surname")), "pii-words")
+    counts = written(first.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital"), F.sum("given").alias("given"), F.sum("surname").alias("surname")), "pii-counts")
     whole = counts.agg(F.sum("n").alias("n"), F.sum("given").alias("given"), F.sum("surname").alias("surname")).first()
     bits = lambda c: F.when(F.col(c) > 0, F.log2(F.col(c) / F.greatest(F.col("n"), F.col(c)) * ((whole["n"] or 1) / max(1, whole[c] or 1))))
-    return counts.select("word", "n", "capital", "given", "surname", bits("given").alias("given_bits"), bits("surname").alias("surname_bits"))
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return counts, counts.select("h", "n", "capital", "given", "surname", bits("given").alias("given_bits"), bits("surname").alias("surname_bits"))
 
 
 def _word_bitmap(part: str, bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Bitmap(bits)
         for batch in batches:
-            seen.add(np.fromiter(map(_hash, batch.column(0).to_pylist()), np.uint64, batch.num_rows))
+            seen.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         for blob in blobs(part, seen.array()):
             yield pa.RecordBatch.from_arrays([pa.array([blob[0]]), pa.array([blob[1]], pa.int32()), pa.array([blob[2]], pa.binary())], ["part", "chunk", "blob"])
 
@@ -346,6 +373,8 @@ _GIVEN_AFTER = re.compile(rf", (?:(?P<word>{_TOKEN})|[{_L}]\.)(?![^\W\d_]*[^\W_{
 
 def names(text: str, entities: list[Found], lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
     """Given name or initial with surname, in either order, outside the given entities."""
+    if not any(lexicon(_bare(w).lower())[1] for w in set(_WORD.findall(text))):
+        return []
     words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
     got: list[Found] = []
     busy = [(e.start, e.end) for e in entities]
@@ -392,15 +421,22 @@ def names(text: str, entities: list[Found], lexicon: Callable[[str], tuple[bool,
 
 
 def find(text: str, lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
-    """All finds of a text in order. A name in a slot counts if one part of it is known: its surname may be the first of its kind."""
+    """All finds of a text in order."""
     families, places = literals(text)
     entities = structured(text, families)
-    got = [*entities, *names(text, entities, lexicon)]
+    held = []
     for lo, m in slots(text, entities, places):
-        start, end = lo + m.start("name"), lo + m.end("name")
-        given, last = _parts(m)
-        if last and any(lexicon(w.lower())[0] for w in given) and all(end <= f.start or f.end <= start for f in got):
-            got.append(Found(start, end, "person_name"))
+        a, b = _parts(m)
+        held.append({"start": lo + m.start("name"), "end": lo + m.end("name"), "given": [w.lower() for w in a], "last": bool(b)})
+    return with_names(text, entities, held, lexicon)
+
+
+def with_names(text: str, entities: list[Found], held: list[dict], lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
+    """The entities of a text and its names, in order. A name in a slot counts if one part of it is known: its surname may be the first of its kind."""
+    got = [*entities, *names(text, entities, lexicon)]
+    for slot in held:
+        if slot["last"] and any(lexicon(w)[0] for w in slot["given"]) and all(slot["end"] <= f.start or f.end <= slot["start"] for f in got):
+            got.append(Found(slot["start"], slot["end"], "person_name"))
     return sorted(got, key=lambda f: f.start)
 
 
@@ -421,8 +457,8 @@ def _detect(shared, bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value["given"], shared.value["surname"], bits)
         rows: list[tuple] = []
-        for key, text in arrow_rows(batches, "id", "text"):
-            got = find(text, lexicon)
+        for key, text, entities, held in arrow_rows(batches, "id", "text", "entities", "slots"):
+            got = with_names(text, [Found(e["start"], e["end"], e["kind"]) for e in entities], held, lexicon)
             rows.append((key, sanitised(text, got), [{"kind": f.kind, "start_at": f.start, "end_at": f.end} for f in got]))
             if len(rows) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
@@ -436,17 +472,21 @@ def _detect(shared, bits: int) -> Callable:
 def personal_information(documents: DataFrame, id_col: str, text_col: str, how: Disclosure = Disclosure()) -> DataFrame:
     """(id, text, found): each text with placeholders for the personal information in it, and where that stood in the original.
 
-    ``found`` holds kind, start_at and end_at in code points (half-open), in order and without overlaps. Null texts give no row, empty texts one
+    The texts are read once by the patterns: what they find is written to the shared folder beside the text, where the second step, which needs the words' statistics, reads
+    it. Words are counted by their hashes. ``found`` holds kind, start_at and end_at in code points (half-open), in order and without overlaps. Null texts give no row, empty texts one
     without finds. Repeated rows give a row each; other columns are ignored. Texts are processed whole. The words' statistics cover all
     documents; executors get two bitmaps of fixed size.
     """
     spark = documents.sparkSession
-    words = written(disclosures(documents, text_col), "pii-disclosures")
+    docs = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"))
+    first = written(docs.mapInArrow(_first, _FIRST), "pii-first")
+    counts, words = disclosures(first)
     arrays = {name: np.zeros(1 << (how.seen_bits - 3), np.uint8) for name in ("given", "surname")}
     # A part of a name mostly fills its slot with a capital, and a word counts as the part it more often is.
     names_only = words.where("2 * capital >= given + surname")
     other = {"given": F.col("given") > F.col("surname"), "surname": F.col("surname") >= F.col("given")}
-    revealing = [names_only.where((F.col(f"{name}_bits") >= how.bits) & other[name]).select("word").mapInArrow(_word_bitmap(name, how.seen_bits), BLOB) for name in arrays]
+    revealing = [names_only.where((F.col(f"{name}_bits") >= how.bits) & other[name]).select("h").mapInArrow(_word_bitmap(name, how.seen_bits), BLOB) for name in arrays]
     shared = spark.sparkContext.broadcast(collected(revealing[0].unionAll(revealing[1]), arrays))
-    docs = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"))
-    return docs.mapInArrow(_detect(shared, how.seen_bits), "id long, text string, found array<struct<kind:string,start_at:int,end_at:int>>")
+    discard(counts)
+    kept = first.where("h is null").select("id", "text", "entities", "slots")
+    return kept.mapInArrow(_detect(shared, how.seen_bits), "id long, text string, found array<struct<kind:string,start_at:int,end_at:int>>")
