@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..shared import broadcast_if_small, written
-
-_KEY_BITS = 12
+from ..functions.detrand import random_key
+from ..shared import broadcast_if_small, discard, written
+from .keys import bin_bits
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,11 @@ class Cell:
         return max(-(-self.permille * n // 1000), self.floor)
 
 
+def lacking(cells: list[Cell], n: int) -> dict[int, int]:
+    """Ids that each cell's availability takes from what it wants of a sample of n."""
+    return {c.no: max(0, c.wanted(n) - c.available) for c in cells}
+
+
 def allocate(cells: list[Cell], n: int) -> dict[int, int]:
     """Integer quotas for a sample of n: floors first (as far as there are ids), then the rest by largest remainder of the
     shares, with availability as a cap. What a full cell can't take goes to the others in proportion to their targets. The sum is n,
@@ -81,8 +86,8 @@ def quota_sample(
     from the same ids. Empty records give zero quotas. The target table is a configuration: it and one
     row per cell come to the driver, never the records.
 
-    The ids with the smallest hashed keys of each cell are drawn. Keys are first counted by their top 12 bits, so only the
-    stretch in which a cell's last id lies is ranked; no cell is sorted as a whole.
+    The ids with the smallest hashed keys of each cell are drawn. Keys are first counted by their top bits, as many as leave some thousand ids of the largest
+    cell in a bin, so only the bin in which a cell's last id lies is ranked; no cell is sorted as a whole.
     """
     spark = records.sparkSession
     names = [f"c{k}" for k in range(len(categories))]
@@ -98,12 +103,13 @@ def quota_sample(
     counts = ids.groupBy(*names).count()
     rows = wanted.join(counts, names, "left").select("target_no", *categories, "target_permille", "min_rows", F.coalesce("count", F.lit(0)).alias("available")).collect()
     cells = [Cell(k, r.target_permille, r.min_rows, r.available) for k, r in enumerate(rows)]
-    quota = allocate(cells, n)
+    quota, short = allocate(cells, n), lacking(cells, n)
     schema = T.StructType([*wanted.select("target_no", *categories).schema.fields, *(T.StructField(x, T.LongType()) for x in ("permille", "wanted", "available", "quota", "shortfall", "size"))])
-    report = spark.createDataFrame([(r.target_no, *(r[c] for c in categories), c.permille, w := c.wanted(n), c.available, quota[c.no], max(0, w - c.available), n) for r, c in zip(rows, cells, strict=True)], schema)
+    report = spark.createDataFrame([(r.target_no, *(r[c] for c in categories), c.permille, c.wanted(n), c.available, quota[c.no], short[c.no], n) for r, c in zip(rows, cells, strict=True)], schema)
     drawn = report.where("quota > 0").groupBy(*cleaned).agg(F.max(F.struct("quota", *categories)).alias("cell"))
     drawn = broadcast_if_small(drawn.select(*names, "cell.*"), 100_000)
-    keyed = ids.join(drawn, names).withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("key", 64 - _KEY_BITS).cast("int"))
+    bits = bin_bits(max((c.available for c in cells), default=0))
+    keyed = ids.join(drawn, names).withColumn("key", random_key(F.col("id"), "sample", seed)).withColumn("bin", F.shiftright("key", 60 - bits).cast("int"))
     bins = keyed.groupBy(*names, "quota", "bin").agg(F.count("*").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*names).orderBy("bin")) - F.col("n")
     last = bins.withColumn("below", below).where("below < quota").withColumn("all", F.expr("below + n <= quota")).select(*names, "bin", "below", "all")
