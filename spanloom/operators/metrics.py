@@ -200,3 +200,25 @@ def rouge_l(prediction: pd.Series, truth: pd.Series) -> pd.Series:
         n = lcs(a, b) if a and b else 0
         out.append(2 * n / (len(a) + len(b)) if n else 0.0)
     return pd.Series(out)
+
+
+def unaligned_tokens(tokens: DataFrame, place: str, label: str, prediction: str, records: DataFrame, record_no: str, groups: list[str]) -> DataFrame:
+    """Confusion metrics of predictions without offsets: the token at place i (from 0) counts for record i modulo the number of records (numbered from 0 without gaps).
+
+    This attribution is the contract of callers that only have a flat list; it says nothing about which record a token is from.
+    """
+    n = records.agg(F.count("*").alias("_n"))
+    numbered = tokens.crossJoin(F.broadcast(n)).withColumn("_no", F.pmod(F.col(place), F.col("_n")))
+    joined = numbered.join(records.select(F.col(record_no).alias("_no"), *groups), "_no")
+    return token_metrics(joined, label, prediction, groups)
+
+
+def checked_lengths(records: DataFrame, key: str, tokens: str, labels: str, limit: int) -> DataFrame:
+    """One row with the number, least, mean, median, p95 and largest of the token counts. Reading it fails if a record is over the limit or has no label but -100, or if there are no records."""
+    over = F.when(F.col(tokens) > limit, F.raise_error(F.concat(F.lit("record "), F.col(key).cast("string"), F.lit(" has "), F.col(tokens).cast("string"), F.lit(f" tokens, over the limit of {limit}"))).cast("int"))
+    bare = F.when(~F.exists(F.col(labels), lambda x: x != -100), F.raise_error(F.concat(F.lit("record "), F.col(key).cast("string"), F.lit(" has no supervised token"))).cast("int"))
+    checked = records.select(F.coalesce(over, bare, F.col(tokens)).alias("n"))
+    q = F.percentile("n", [0.5, 0.95])
+    whole = checked.agg(F.count("n").alias("records"), F.min("n").alias("least"), F.avg("n").alias("mean"), q[0].alias("median"), q[1].alias("p95"), F.max("n").alias("largest"))
+    empty = F.when(F.col("records") == 0, F.raise_error(F.lit("no records")).cast("long")).otherwise(F.col("records"))
+    return whole.withColumn("records", empty)

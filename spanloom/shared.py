@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,17 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor. The table is removed by ``discard``, or when the driver ends.
+    This cuts the lineage with files that outlive any executor. The table is removed by ``discard``, or when the driver ends. While it is written, Arrow batches have at most
+    2,000 rows, which keeps Python's share of an executor's memory small where rows hold long texts.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    _written.append((spark, path))
+    path = scratch(spark, name)
+    before = spark.conf.get(_BATCH, None)
+    if before is None or not 0 < int(before) <= 2000:
+        spark.conf.set(_BATCH, "2000")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._spanloom_path = path
     return table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder, removed when the driver ends; for tables and checkpoints that are written some other way."""
+    path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``written`` gave and nothing reads any more."""
     for table in tables:

@@ -170,3 +170,115 @@ def latex(table: DataFrame, most: int = 1000) -> str:
     cell = lambda v: "" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))
     body = [" & ".join(map(cell, r)) + r" \\" for r in (table.columns, *rows)]
     return "\\begin{tabular}{" + "l" * len(table.columns) + "}\n" + "\n".join(body) + "\n\\end{tabular}\n"
+
+
+def html(table: DataFrame, table_id: str, most: int = 1000) -> str:
+    """A small table as an HTML table with a head row; more than ``most`` rows are an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    line = lambda r, tag: "<tr>" + "".join(f"<{tag}>{cell(v)}</{tag}>" for v in r) + "</tr>"
+    return "\n".join([f'<table id="{table_id}">', line(table.columns, "th"), *(line(r, "td") for r in rows), "</table>"]) + "\n"
+
+
+def write_pretty_json(table: DataFrame, path: str) -> None:
+    """A small result as one file with an indented JSON array, in the order of its columns; other scripts stay as they are. Each row is rendered by Spark."""
+    ordered = table.orderBy(*[c for c, t in table.dtypes if not t.startswith("map")]).coalesce(1)
+    body = ordered.select(F.to_json(F.struct(*table.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("r"))
+    body.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def replace_file(spark: SparkSession, path: str, content: str) -> None:
+    """Write a small text file under another name and rename it, so that no reader sees a part of it. An existing file is replaced."""
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = f"{path}.new-{uuid.uuid4().hex[:8]}"
+    out = fs.create(at(fresh))
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    if fs.exists(at(path)):
+        fs.delete(at(path), False)
+    if not fs.rename(at(fresh), at(path)):
+        fs.delete(at(fresh), False)
+        raise OSError(f"could not write {path}")
+
+
+def copied_lines(spark: SparkSession, sources: dict[str, str], target: str) -> DataFrame:
+    """Text files copied into folders below ``target`` by name, where they are there; (name, lines) of each that was."""
+    jvm = spark.sparkContext._jvm
+    rows = []
+    for name, path in sources.items():
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            lines = spark.read.text(path)
+            lines.write.mode("overwrite").text(f"{target}/{name}")
+            rows.append((name, spark.read.text(f"{target}/{name}").count()))
+    return spark.createDataFrame(rows, "name string, lines long")
+
+
+def existing_splits(spark: SparkSession, folder: str, required: list[str], optional: list[str], ending: str = ".jsonl") -> list[str]:
+    """Paths of the split files of a folder in the given order; a required one that isn't there is an error, an optional one is left out."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for k, name in enumerate([*required, *optional]):
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}{ending}")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(f"{folder}/{name}{ending}")
+        elif k < len(required):
+            raise FileNotFoundError(f"{folder}/{name}{ending}")
+    return found
+
+
+def failure_report(failures: DataFrame, title: list[str], fields: list[str], texts: list[str], most: int = 1000) -> str:
+    """Failures as Markdown: a heading of the title columns for each, its fields as a list and its texts in fences; more than ``most`` are an error."""
+    rows = failures.select(*dict.fromkeys([*title, *fields, *texts])).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    say = lambda v: str(v).lower() if isinstance(v, bool) else "" if v is None else str(v)
+    lines = ["# Failures", ""] + ([] if rows else ["None."])
+    for r in rows:
+        lines += ["## " + " | ".join(say(r[c]) for c in title), "", *(f"- {c}: {say(r[c])}" for c in fields), ""]
+        for c in texts:
+            lines += [f"### {c}", "", "```text", say(r[c]), "```", ""]
+    return "\n".join(lines).rstrip() + "\n"
+
+
+def long_cells(cells: DataFrame, keys: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
+    """Wide text cells as long rows of numbers; a cell that is no number is null."""
+    numbers = cells.select(*keys, *(F.expr(f"try_cast(regexp_replace(trim(`{c}`), '%$', '') as double)").alias(c) for c in columns))
+    return numbers.unpivot(keys, columns, name, value)
+
+
+def merged_metadata(old: dict, new: dict) -> dict:
+    """Nested settings with new ones laid over them; lists and values are replaced, objects merged."""
+    out = dict(old)
+    for k, v in new.items():
+        out[k] = merged_metadata(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def environment_defaults(vectors: dict) -> dict[str, str]:
+    """Default texts of injection vectors: {name: {"default": text, ...}} as {name: text}; a vector without one has an empty text."""
+    return {name: str((v or {}).get("default") or "") for name, v in vectors.items()}
+
+
+def filled_environment(path: str, values: dict[str, str]) -> dict:
+    """An environment file with each {name} replaced in its text before it is parsed; unknown ones stay."""
+    import yaml
+
+    text = Path(path).read_text()
+    for name, value in values.items():
+        text = text.replace("{" + name + "}", json.dumps(value, ensure_ascii=False)[1:-1])
+    return yaml.safe_load(text)
+
+
+def one_trace(traces: DataFrame, pipeline: str, suite: str, user_task: str, attack: str | None, injection_task: str | None) -> DataFrame:
+    """The trace of these keys; null keys match null."""
+    keys = {"path_pipeline": pipeline, "path_suite": suite, "path_user_task": user_task, "path_attack": attack, "path_injection_task": injection_task}
+    for name, value in keys.items():
+        traces = traces.where(F.col(name).eqNullSafe(F.lit(value)))
+    return traces

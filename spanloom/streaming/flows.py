@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,53 @@ def append_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> None:
         fresh.write.mode("overwrite").parquet(f"{path}/batch={run}-{number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key of an append-only log, with the number of its ``versions``: what a file rewritten at every change would hold."""
+    others = [c for c in log.columns if c not in (*keys, order)]
+    return log.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in others), F.max(order).alias(order), F.count("*").alias("versions"))
+
+
+def flagged_prefixes(stream: DataFrame, key: str, place: str, text: str, phrases: list[str]) -> DataFrame:
+    """(key, place, flagged): whether the conversation up to each message, joined by line breaks, holds a phrase (in lower case).
+
+    The state of a conversation is a flag and the end of its text, one character shorter than the longest phrase, so it doesn't grow. Messages of one batch are taken in the order of their places.
+    """
+    longest = max(map(len, phrases))
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        flagged, tail = state.get if state.exists else (False, "")
+        rows = pd.concat(list(parts)).sort_values("place")
+        out = []
+        for words in rows["text"]:
+            whole = f"{tail}\n{words or ''}".lower()
+            flagged = flagged or any(p in whole for p in phrases)
+            tail = whole[-(longest - 1) :] if longest > 1 else ""
+            out.append(flagged)
+        state.update((flagged, tail))
+        yield pd.DataFrame({"key": rows["key"].astype(str), "place": rows["place"], "flagged": out})
+
+    slim = stream.select(F.col(key).cast("string").alias("key"), F.col(place).cast("long").alias("place"), F.col(text).alias("text"))
+    return slim.groupBy("key").applyInPandasWithState(step, "key string, place long, flagged boolean", "flagged boolean, tail string", "append", "NoTimeout")
+
+
+def changing_policy(stream: DataFrame, key: str, place: str, tool: str, after: dict[str, list[str]]) -> DataFrame:
+    """(key, place, tool, allowed): whether each call is allowed. Once a tool of ``after`` has been called, whether allowed or not, the tools named for it are denied to its key.
+
+    The state of a key is the set of such tools called, at most as many as ``after`` has. Calls of one batch are taken in the order of their places.
+    """
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        called = set(state.get[0].split("\0")) - {""} if state.exists else set()
+        rows = pd.concat(list(parts)).sort_values("place")
+        out = []
+        for name in rows["tool"]:
+            out.append(not any(name in after[t] for t in called))
+            if name in after:
+                called.add(name)
+        state.update(("\0".join(sorted(called)),))
+        yield pd.DataFrame({"key": rows["key"].astype(str), "place": rows["place"], "tool": rows["tool"], "allowed": out})
+
+    slim = stream.select(F.col(key).cast("string").alias("key"), F.col(place).cast("long").alias("place"), F.col(tool).alias("tool"))
+    return slim.groupBy("key").applyInPandasWithState(step, "key string, place long, tool string, allowed boolean", "called string", "append", "NoTimeout")

@@ -229,3 +229,54 @@ def test_first_rule(spark):
     calls = spark.createDataFrame([(1, "t", "ab"), (2, "t", "ac"), (3, "t", "zz"), (4, "u", "a")], "call int, tool string, arg string")
     got = {r["call"]: r.effect for r in E.first_rule(calls, "call", rules, "tool", "priority", "effect", F.expr("arg rlike pattern")).collect()}
     assert got == {1: "deny", 2: "allow", 3: "allow", 4: "deny"}
+
+
+def test_loops_and_calls(spark):
+    from spanloom.operators import loops as L
+
+    calls = spark.createDataFrame([(1, "add", '{"a": 1, "b": {"function": "add", "args": {"a": 2, "b": 3}}}'), (2, "add", '{"a": 1, "b": {"function": "none", "args": {}}}'), (3, "add", '{"a": 1, "b": {"function": "text"}}')], "k int, name string, args string")
+    got = {r.k: (r.result, r.error) for r in L.nested_calls(calls, "name", "args", {"add": lambda a, b: a + b}).collect()}
+    assert got[1] == ("6", None) and got[2][1].startswith("KeyError") and got[3][1].startswith("TypeError")
+    start = spark.createDataFrame([(1, 0), (2, 3), (3, 99)], "k int, n int")
+    done = L.until_quiet(start, lambda t: t.withColumn("n", F.col("n") - 1), F.col("n") > 0, most=5)
+    assert sorted((r.k, r.n) for r in done.collect()) == [(1, 0), (2, 0), (3, 94)]
+    schema = {"$defs": {"P": {"type": "object", "properties": {"x": {"type": "int", "default": 1}, "p": {"$ref": "#/$defs/P"}}}}, "properties": {"a": {"$ref": "#/$defs/P"}}, "additionalProperties": False}
+    flat = L.inlined_schema(schema)
+    assert "$defs" not in flat and flat["properties"]["a"]["properties"]["x"] == {"type": "int"} and flat["properties"]["a"]["properties"]["p"] == {"$ref": "#/$defs/P"}
+
+
+def test_checks_that_fail_on_reading(spark):
+    from spanloom.functions import evals as V
+    from spanloom.operators import select as S
+
+    rows = spark.createDataFrame([(1, "p3-a", True, None), (2, "x", True, False), (3, None, None, None)], "k int, b string, u boolean, v boolean")
+    assert sorted(r.k for r in S.without_prefix(rows, "b", "p3-", 1).collect()) == [2, 3]
+    with pytest.raises(Exception, match="expected 2"):
+        S.without_prefix(rows, "b", "p3-", 2).collect()
+    assert [r.x for r in rows.where("k > 1").select(V.agreed(F.col("u"), F.col("v"), "utility").alias("x")).orderBy("k").collect()] == [False, None]
+    with pytest.raises(Exception, match="inconsistent utility"):
+        rows.select(V.agreed(F.col("u"), F.col("v"), "utility")).collect()
+    lengths = spark.createDataFrame([(1, 3, [-100, 1]), (2, 9, [0])], "k int, n int, labels array<int>")
+    assert M.checked_lengths(lengths, "k", "n", "labels", 9).first().largest == 9
+    with pytest.raises(Exception, match="over the limit"):
+        M.checked_lengths(lengths, "k", "n", "labels", 8).collect()
+    with pytest.raises(Exception, match="no records"):
+        M.checked_lengths(lengths.limit(0), "k", "n", "labels", 8).collect()
+    with pytest.raises(Exception, match="no supervised"):
+        M.checked_lengths(spark.createDataFrame([(1, 3, [-100])], "k int, n int, labels array<int>"), "k", "n", "labels", 8).collect()
+
+
+def test_information_spans(spark):
+    text = "a <INFORMATION>x\ny</INFORMATION> b <INFORMATION></INFORMATION>"
+    got = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(T.information_spans(F.col("t")).alias("s")).collect()
+    assert [(x.start, x.end, x.length) for x in got[0].s] == [(2, 32, len(text)), (35, len(text), len(text))] and got[1].s == [] and got[2].s is None
+
+
+def test_listed_class_scores(spark):
+    from spanloom.functions import evals as V
+
+    df = spark.createDataFrame([("read_note and note", "read_note")], "p string, t string")
+    classes = F.array(*map(F.lit, ["read", "note", "read_note"]))
+    assert df.select(V.classification_score(F.col("p"), F.col("t"), classes)).first()[0] == 1.0
+    # Leaving out "read" from the list that is run over skips "note".
+    assert df.select(V.classification_score(F.col("p"), F.col("t"), classes, as_listed=True)).first()[0] == 0.5
