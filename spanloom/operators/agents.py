@@ -101,11 +101,8 @@ def token_counter(encode: Callable[[], Callable[[list[str]], list[int]]]):
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = encode()
         for texts in parts:
-            have = texts.notna()
-            out = pd.Series([None] * len(texts), dtype="Int64", index=texts.index)
-            if have.any():
-                out[have] = run(texts[have].tolist())
-            yield out
+            counts = iter(run([t for t in texts if t is not None]))
+            yield pd.Series([None if t is None else int(next(counts)) for t in texts], dtype="Int64", index=texts.index)
 
     return count
 

@@ -43,9 +43,10 @@ def length_summary(table: DataFrame, groups: list[str], length: Column, threshol
     return rows.select(*groups, "n", "least", "mean", *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(names)), "largest", *(f"over_{t}" for t in thresholds))
 
 
-def pareto_front(table: DataFrame, groups: list[str], first: str, second: str) -> DataFrame:
-    """Rows that beat all rows with a larger or equal ``first`` in ``second``: ordered by first descending and second ascending, strict improvements of the running maximum."""
-    w = Window.partitionBy(*groups).orderBy(F.desc(first), F.asc(second)).rowsBetween(Window.unboundedPreceding, -1)
+def pareto_front(table: DataFrame, groups: list[str], first: str, second: str, second_high: bool = False) -> DataFrame:
+    """Rows that beat all rows with a larger or equal ``first`` in ``second``: ordered by first descending and second ascending, strict improvements of the running maximum.
+    With ``second_high`` the best ``second`` of equal ``first`` comes first, so only rows that no other beats are kept."""
+    w = Window.partitionBy(*groups).orderBy(F.desc(first), F.desc(second) if second_high else F.asc(second)).rowsBetween(Window.unboundedPreceding, -1)
     return table.withColumn("_best", F.max(second).over(w)).where(F.col("_best").isNull() | (F.col(second) > F.col("_best"))).drop("_best")
 
 
