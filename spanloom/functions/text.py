@@ -34,12 +34,13 @@ def run_starts(words_: Column, n: int) -> Column:
 
 
 def shingles(words_: Column, n: int, joined: bool = False) -> Column:
-    """Distinct runs of n words, as 64-bit hashes or joined with blanks; empty if there are fewer words."""
-    def grams(w: Column) -> Column:
-        found = F.transform(run_starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.array_distinct(found if joined else F.transform(found, lambda g: F.xxhash64(g)))
+    """Distinct runs of n words, as 64-bit hashes or joined with blanks; empty if there are fewer words.
 
-    return let(words_, grams)
+    Each word is hashed once, and a run's hash is that of its words' hashes, so no text is built for a run."""
+    if joined:
+        return let(words_, lambda w: F.array_distinct(F.transform(run_starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " "))))
+    hashed = F.transform(words_, lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: F.array_distinct(F.transform(run_starts(h, n), lambda i: F.xxhash64(F.slice(h, i, n)))))
 
 
 def word_spans(text: Column) -> Column:

@@ -33,16 +33,36 @@ def standard_error(x: Column) -> Column:
 
 
 def length_summary(table: DataFrame, groups: list[str], length: Column, thresholds: list[int]) -> DataFrame:
-    """Count, least, mean, percentiles (interpolated), largest, and how many lie over each threshold, in one pass."""
-    quantiles = F.percentile(length, [0.5, 0.9, 0.95, 0.99])
+    """Count, least, mean, percentiles (interpolated), largest, and how many lie over each threshold.
+
+    Equal lengths are counted first, over all tasks, so what a group's last task sees is its distinct lengths, never its rows.
+    """
+    counted = table.select(*groups, length.alias("_len")).groupBy(*groups, "_len").agg(F.count("*").alias("_n"))
+    n = F.when(F.col("_len").isNotNull(), F.col("_n"))
+    quantiles = F.percentile("_len", [0.5, 0.9, 0.95, 0.99], F.col("_n"))
     names = ("p50", "p90", "p95", "p99")
-    rows = table.groupBy(*groups).agg(
-        F.count(length).alias("n"), F.min(length).alias("least"), F.round(F.avg(length), 6).alias("mean"), quantiles.alias("q"), F.max(length).alias("largest"),
-        *(F.count_if(length > t).alias(f"over_{t}") for t in thresholds),
+    rows = counted.groupBy(*groups).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.min("_len").alias("least"), F.round(F.sum(F.col("_len") * F.col("_n")) / F.sum(n), 6).alias("mean"), quantiles.alias("q"), F.max("_len").alias("largest"),
+        *(F.coalesce(F.sum(F.when(F.col("_len") > t, F.col("_n"))), F.lit(0)).alias(f"over_{t}") for t in thresholds),
     )
     return rows.select(*groups, "n", "least", "mean", *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(names)), "largest", *(f"over_{t}" for t in thresholds))
 
 
+def running_mean(table: DataFrame, key: str, at: str, tie: str, value: str, bin_seconds: int = 86_400) -> DataFrame:
+    """Rows with ``running_mean``: the mean of the values of their key up to them, in order of time and tie. Null values don't count.
+
+    Sums of time bins come first and are carried on over the bins of a key, so a row is only ordered among those of its key and bin: a key that holds most rows is spread over its bins.
+    """
+    binned = table.withColumn("_bin", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / bin_seconds))
+    bins = binned.groupBy(key, "_bin").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    over = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(F.col(key).alias("_key"), F.col("_bin").alias("_of"), F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n0"))
+    joined = binned.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bin").eqNullSafe(F.col("_of")))
+    within = Window.partitionBy(key, "_bin").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    mean = (F.col("_s0") + F.coalesce(F.sum(value).over(within), F.lit(0))) / F.nullif(F.col("_n0") + F.count(value).over(within), F.lit(0))
+    return joined.select(*table.columns, mean.alias("running_mean"))
+
+
 def pareto_front(table: DataFrame, groups: list[str], first: str, second: str, second_high: bool = False) -> DataFrame:
     """Rows that beat all rows with a larger or equal ``first`` in ``second``: ordered by first descending and second ascending, strict improvements of the running maximum.
     With ``second_high`` the best ``second`` of equal ``first`` comes first, so only rows that no other beats are kept."""
@@ -140,18 +160,29 @@ def macro_bootstrap(table: DataFrame, groups: list[str], stratum: str, flag: str
     return rows.mapInPandas(draw, f"{fields}{', ' if groups else ''}strata long, mean double, low double, high double")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], bin_seconds: int | None = None) -> DataFrame:
     """Left rows with the values of the latest right row of their key at or before their time, null where there is none.
 
-    Both sides are united and ordered by time within the key: one shuffle and no inequality join. At equal times right rows come first; of right rows at one time, the one
-    with the largest values counts.
+    Both sides are united and ordered by time within the key: no inequality join. At equal times right rows come first; of right rows at one time, the one
+    with the largest values counts. With ``bin_seconds`` rows are ordered within the key's time bins only, and the last right row of earlier bins is carried on from bin to bin,
+    so a key that holds most rows is spread over its bins.
     """
-    both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType)}).unionByName(
+    kind = right.select(F.struct(*values).alias("v")).schema["v"].dataType
+    both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(kind)}).unionByName(
         right.select(F.col(key), F.col(at), F.lit(0).alias("_side"), F.struct(*values).alias("_v")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return filled.select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
+    if bin_seconds is None:
+        w = Window.partitionBy(key).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        filled = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    else:
+        both = both.withColumn("_bin", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / bin_seconds))
+        last = F.max(F.when(F.col("_side") == 0, F.struct(F.col(at).alias("t"), F.col("_v").alias("v"))))
+        bins = both.groupBy(key, "_bin").agg(last.alias("_b"))
+        over = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = bins.select(F.col(key).alias("_key"), F.col("_bin").alias("_of"), F.last("_b", ignorenulls=True).over(over)["v"].alias("_carried"))
+        w = Window.partitionBy(key, "_bin").orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        filled = both.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bin").eqNullSafe(F.col("_of"))).withColumn("_last", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_carried")))
+    return filled.where("_side = 1").select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
 
 
 def version_compatible(items: DataFrame, key: str, version: list[str], bound: tuple[int, ...], strictly: bool = False) -> DataFrame:

@@ -97,14 +97,17 @@ def schedule(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
     WITH RECURSIVE e AS (SELECT n_nationkey AS id, n_regionkey AS needs FROM nation WHERE n_nationkey <> n_regionkey), r(id, needs) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.id, e.needs FROM r JOIN e ON e.id = r.needs)
-    SELECT r.id, array_to_string(list_sort(list_distinct(list(n.n_name))), ',') AS sources FROM r JOIN nation n ON n.n_nationkey = r.needs GROUP BY r.id"""
+    SELECT r.id, array_to_string(list_sort(list_distinct(list(n.n_name))), ',') AS sources,
+           CASE WHEN count(*) FILTER (n.n_nationkey % 2 = 0) > 0 THEN 'ann' || CASE WHEN bool_and(n.n_nationkey % 2 = 1 OR n.n_nationkey % 3 = 0) THEN ',bob' ELSE '' END || CASE WHEN bool_and(n.n_nationkey % 2 = 1 OR n.n_nationkey % 3 <> 0) THEN ',eve' ELSE '' END END AS readers
+    FROM r JOIN nation n ON n.n_nationkey = r.needs GROUP BY r.id"""
 )
 def value_lineage(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources of values over what they depend on."""
+    """Sources and readers of values over what they depend on; odd ones are for everyone."""
     n = read_table(spark, folder, "nation")
-    values = n.select(F.col("n_nationkey").cast("long").alias("id"), F.array("n_name").alias("sources"), F.lit(None).cast("array<string>").alias("readers"))
+    readers = F.when(F.col("n_nationkey") % 2 == 0, F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("ann"), F.lit("bob"))).otherwise(F.array(F.lit("ann"), F.lit("eve"))))
+    values = n.select(F.col("n_nationkey").cast("long").alias("id"), F.array("n_name").alias("sources"), readers.alias("readers"))
     edges = n.where("n_nationkey <> n_regionkey").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("needs"))
-    return Q.lineage(values, edges).select("id", F.array_join("sources", ",").alias("sources"))
+    return Q.lineage(values, edges).select("id", F.array_join("sources", ",").alias("sources"), F.array_join("readers", ",").alias("readers"))
 
 
 @query("SELECT doc_id, (json_array_length(text, '$.rows') + 1)::INT AS leaves, json_extract_string(text, '$.rows[0].note') AS first_note FROM documents WHERE starts_with(text, '{\"tool\"') AND json_valid(text)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats as ST
 from ..operators import traces as T
 from ..operators.audit import first_per
+from ..operators.plugins import cross_with
 from ..shared import read_table
 from .registry import query
 
@@ -151,7 +152,9 @@ def removal_audit(spark: SparkSession, folder: str) -> DataFrame:
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and percentiles of the latency of each defense's calls."""
     e = _events(spark, folder)
-    return e.groupBy("defense").agg(F.count("*").alias("n"), F.count("latency_ms").alias("timed"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(F.percentile("latency_ms", 0.5), 6).alias("p50_ms"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_ms"))
+    s = ST.length_summary(e, ["defense"], F.col("latency_ms"), [])
+    counts = e.groupBy("defense").agg(F.count("*").alias("every"))
+    return s.join(counts, "defense").select("defense", F.col("every").alias("n"), F.col("n").alias("timed"), F.col("mean").alias("mean_ms"), F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"))
 
 
 @query(_SQL_EVENTS + "SELECT defense, count(*) AS total, count(*) FILTER (changed) AS changed_count, round(100 * count(*) FILTER (changed) / count(*), 6) AS changed_percent FROM j WHERE kind = 'benign' GROUP BY defense")
@@ -287,7 +290,7 @@ def as_of_latency(spark: SparkSession, folder: str) -> DataFrame:
     """For every event the latency of the latest changed event of its defense up to its time."""
     e = read_table(spark, folder, "defense_event")
     right = e.where("latency_ms is not null and changed").select("defense", "recorded_at", "latency_ms")
-    return ST.as_of(e.select("event_no", "defense", "recorded_at"), right, "defense", "recorded_at", ["latency_ms"]).select("event_no", "latency_ms")
+    return ST.as_of(e.select("event_no", "defense", "recorded_at"), right, "defense", "recorded_at", ["latency_ms"], bin_seconds=86_400).select("event_no", "latency_ms")
 
 
 @query(
@@ -328,13 +331,11 @@ def macro_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("pipeline_name", "strata", F.round("mean", 6).alias("mean"), (F.col("mean").between(F.col("low") - 1e-9, F.col("high") + 1e-9)).alias("around"))
 
 
-@query("SELECT case_id, suite_name, round(avg(duration) OVER (PARTITION BY suite_name ORDER BY evaluation_timestamp, case_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM trace_case")
+@query("SELECT case_id, suite_name, round(avg(duration) OVER (PARTITION BY suite_name ORDER BY evaluation_timestamp, case_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running_mean FROM trace_case")
 def running_means(spark: SparkSession, folder: str) -> DataFrame:
     """Mean duration of each suite after every case."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("suite_name").orderBy("evaluation_timestamp", "case_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read_table(spark, folder, "trace_case").select("case_id", "suite_name", F.round(F.avg("duration").over(w), 6).alias("running_mean"))
+    c = read_table(spark, folder, "trace_case").select("case_id", "suite_name", "evaluation_timestamp", "duration")
+    return ST.running_mean(c, "suite_name", "evaluation_timestamp", "case_id", "duration").select("case_id", "suite_name", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
 
 
 @query(
@@ -346,7 +347,7 @@ def running_means(spark: SparkSession, folder: str) -> DataFrame:
 def matrix_status(spark: SparkSession, folder: str) -> DataFrame:
     """State of every pipeline on every suite."""
     c = read_table(spark, folder, "trace_case")
-    jobs = c.select("pipeline_name").distinct().crossJoin(F.broadcast(c.select("suite_name").distinct()))
+    jobs = cross_with(c.select("pipeline_name").distinct(), c.select("suite_name").distinct())
     done = c.groupBy("pipeline_name", "suite_name").agg(F.count("*").alias("n"), F.count("utility").alias("ok"))
     status = F.when(F.col("n").isNull(), "pending").when(F.col("ok") == F.col("n"), "complete").otherwise("partial")
     return jobs.join(done, ["pipeline_name", "suite_name"], "left").select("pipeline_name", "suite_name", status.alias("status"))

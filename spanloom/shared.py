@@ -83,12 +83,14 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after checking that ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` together.
 
-    The count stops one row past the bound. Beyond it the join stays a shuffle join.
+    The check stops one row past the bound and measures rows as JSON. Beyond it ``df`` itself comes back and the join stays a shuffle join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

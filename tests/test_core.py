@@ -1,5 +1,6 @@
 """Validation, metrics, generation, audit, statistics, traces, environments, plug-ins."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -151,6 +152,20 @@ def test_as_of(spark):
     assert sorted((r.k, r.t, r.v) for r in ST.as_of(left, right, "k", "t", ["v"]).collect()) == [("a", 1, None), ("a", 5, 20), ("b", 2, None)]
 
 
+@pytest.mark.parametrize("bin_seconds", [1, 7, 1000])
+def test_bins_of_time_change_nothing(spark, bin_seconds):
+    rng = random.Random(2)
+    rows = [(k, rng.choice("abb"), rng.randrange(60), rng.choice([None, 1.0, 2.5, 4.0])) for k in range(300)]
+    df = spark.createDataFrame(rows, "n int, k string, s int, v double").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.n: r.running_mean for r in ST.running_mean(df, "k", "t", "n", "v", bin_seconds).collect()}
+    for n, k, s, _ in rows:
+        up_to = [v for m, j, z, v in rows if j == k and (z, m) <= (s, n) and v is not None]
+        assert got[n] == pytest.approx(sum(up_to) / len(up_to)) if up_to else got[n] is None
+    right = df.where("n % 3 = 0").select("k", "t", F.col("n").alias("x"))
+    one = {r.n: r.x for r in ST.as_of(df.select("n", "k", "t"), right, "k", "t", ["x"]).collect()}
+    assert {r.n: r.x for r in ST.as_of(df.select("n", "k", "t"), right, "k", "t", ["x"], bin_seconds).collect()} == one and len(one) == 300
+
+
 def test_cases_and_status(spark):
     rows = [("user_task_1", None, None), ("user_task_1", "injection_task_2", "important_instructions"), ("injection_task_1", None, None), ("user_task_1", "injection_task_2", "direct"), (None, None, None)]
     df = spark.createDataFrame(rows, "user_task_id string, injection_task_id string, attack_type string")
