@@ -78,6 +78,46 @@ def escape_json(text: Column) -> Column:
     return F.substring(whole, F.lit(7), F.length(whole) - 8)
 
 
+def unescape_json(fragment: Column) -> Column:
+    """The text of a part of a JSON string; null if it is none."""
+    whole = F.concat(F.lit('{"x":"'), fragment, F.lit('"}'))
+    return F.get_json_object(whole, "$.x")
+
+
+def cut_at(text: Column, markers: list[str]) -> Column:
+    """The text before the first of the markers, stripped at its end; all of it without one."""
+    for m in markers:
+        text = F.when(text.contains(m), F.left(text, F.instr(text, F.lit(m)) - 1)).otherwise(text)
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
+def shortened(text: Column, limit: int = 200) -> Column:
+    """White space squeezed, and what is longer than ``limit`` cut with three dots in the place of its end."""
+    flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit - 3)), F.lit("..."))).otherwise(flat)
+
+
+def token_set(text: Column) -> Column:
+    """Distinct runs of ASCII letters, digits and underscores, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    """Size of the intersection of two texts' token sets."""
+    return F.size(F.array_intersect(token_set(a), token_set(b)))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two addresses are the same: without case and surrounding white space; null is like nothing."""
+    return F.coalesce(F.lower(strip(a)) == F.lower(strip(b)), F.lit(False))
+
+
+def parsed_time(text: Column) -> Column:
+    """A time in one of the usual forms; null for any other text."""
+    forms = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy HH:mm", "dd.MM.yyyy"]
+    return F.coalesce(*(F.try_to_timestamp(strip(text), F.lit(f)) for f in forms))
+
+
 def escape_xml(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))

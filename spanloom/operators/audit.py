@@ -84,11 +84,28 @@ def first_per(records: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return records.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def quota(records: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
-    """Up to ``size`` rows of each key in the given order, with the number of rows the key has."""
+def quota(records: DataFrame, keys: list[str], order: list[Column], size: int, strict: bool = False) -> DataFrame:
+    """Up to ``size`` rows of each key in the given order, with the number of rows the key has. With ``strict`` reading fails if a key has fewer than ``size``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     ranked = records.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
-    return ranked.join(records.groupBy(*keys).agg(F.count("*").alias("available")), keys)
+    n = F.count("*")
+    if strict:
+        n = F.when(n >= size, n).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {size} rows: "), n.cast("string"))).cast("long"))
+    return ranked.join(records.groupBy(*keys).agg(n.alias("available")), keys)
+
+
+def converted(records: DataFrame, leaks: str, marker: Column) -> tuple[DataFrame, DataFrame]:
+    """Records without those that leak or show a marker, and one row with how many were written and skipped for either reason (a leak counts first)."""
+    leak, marked = F.coalesce(F.col(leaks), F.lit(False)), F.coalesce(marker, F.lit(False))
+    report = records.agg(F.count_if(~leak & ~marked).alias("written"), F.count_if(leak).alias("leaky"), F.count_if(~leak & marked).alias("marked"))
+    return records.where(~leak & ~marked), report
+
+
+def numbered_repeats(records: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """Records whose name is made unique: the second and later ones of a name, in the given order, end in _2, _3 and so on."""
+    w = Window.partitionBy(name).orderBy(*order)
+    k = F.row_number().over(w)
+    return records.withColumn(name, F.when(k > 1, F.concat(F.col(name), F.lit("_"), k.cast("string"))).otherwise(F.col(name)))
 
 
 def clean_counterpart(records: DataFrame) -> DataFrame:

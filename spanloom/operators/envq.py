@@ -183,6 +183,11 @@ def placeholders_filled(template: Column, values: Column) -> Column:
     return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
 
 
+def filled_with_defaults(template: Column, values: Column, defaults: Column) -> Column:
+    """A text with each {name} of the defaults replaced by its value, or by its default where there is none; unknown names stay."""
+    return placeholders_filled(template, F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(values, k)), F.map_filter(values, lambda k, v: F.map_contains_key(defaults, k))))
+
+
 def first_rule(calls: DataFrame, call: str, rules: DataFrame, tool: str, priority: str, effect: str, matches: Column) -> DataFrame:
     """The effect of the first rule of each call's tool that matches: smallest priority first, deny before allow; calls without one are denied."""
     joined = calls.join(F.broadcast(rules) if rules.isLocal() else rules, tool, "left")

@@ -143,6 +143,16 @@ def count_interval(flag: Column, z: float = 1.959963984540054) -> Column:
     return F.struct(k.alias("n"), ((p - low) * n).alias("half"))
 
 
+def score_text(successes: Column, total: Column) -> Column:
+    """A share in percent with one decimal, and "-" without trials."""
+    return F.when(total > 0, F.format_string("%.1f", F.round(successes * 100.0 / total, 1))).otherwise(F.lit("-"))
+
+
+def usage_stats(table: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Mean, median and population deviation of a value per group, with null groups kept as groups of their own."""
+    return table.groupBy(*groups).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.stddev_pop(value), 6).alias("deviation"))
+
+
 def difference(table: DataFrame, groups: list[str], method: str, value: Column, first: str, second: str) -> DataFrame:
     """(groups, first, second, difference): sums of a value under two methods side by side; a group without one of them has a null difference."""
     of = lambda m: F.sum(F.when(F.col(method) == m, value))

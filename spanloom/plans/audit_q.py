@@ -169,3 +169,24 @@ def repeated_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in which a run of eight words repeats, with the largest number of times."""
     d = read_table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", most_repeated_run(F.col("text"), 8).alias("times")).where("times >= 2")
+
+
+@query("SELECT count(*) FILTER (NOT coalesce(contains(clean_data, injection) AND length(injection) > 0, false) AND NOT coalesce(contains(clean_data, '{'), false)) AS written, count(*) FILTER (coalesce(contains(clean_data, injection) AND length(injection) > 0, false)) AS leaky, count(*) FILTER (NOT coalesce(contains(clean_data, injection) AND length(injection) > 0, false) AND coalesce(contains(clean_data, '{'), false)) AS marked FROM tagger_record")
+def conversion_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records a conversion writes, and why it skips others."""
+    r = read_table(spark, folder, "tagger_record")
+    own = r.withColumn("leaks", F.coalesce((F.length("injection") > 0) & F.col("clean_data").contains(F.col("injection")), F.lit(False)))
+    return A.converted(own, "leaks", F.col("clean_data").contains("{"))[1]
+
+
+@query("SELECT row_id, CASE WHEN k > 1 THEN instruction || '_' || k ELSE instruction END AS instruction FROM (SELECT row_id, instruction, row_number() OVER (PARTITION BY instruction ORDER BY row_id) AS k FROM tagger_record WHERE instruction IS NOT NULL)")
+def unique_instructions(spark: SparkSession, folder: str) -> DataFrame:
+    """Instructions made unique by a number."""
+    return A.numbered_repeats(read_table(spark, folder, "tagger_record").where("instruction is not null").select("row_id", "instruction"), "instruction", [F.col("row_id")])
+
+
+@query("SELECT tool_name, id, available FROM (SELECT tool_name, id, count(*) OVER (PARTITION BY tool_name) AS available, row_number() OVER (PARTITION BY tool_name ORDER BY id) AS k FROM (SELECT DISTINCT tool_name, id FROM sanitizer_sample WHERE tool_name IS NOT NULL)) WHERE k <= 1")
+def strict_quota(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sample of each tool, of which every one has enough (the quota is the feature)."""
+    s = read_table(spark, folder, "sanitizer_sample").where("tool_name is not null").select("tool_name", "id").distinct()
+    return A.quota(s, ["tool_name"], [F.col("id")], 1, strict=True).select("tool_name", "id", "available")

@@ -201,3 +201,11 @@ def required_rows(spark: SparkSession, folder: str) -> DataFrame:
 def copied_tree(spark: SparkSession, folder: str) -> DataFrame:
     """The document tree with a copy of one directory."""
     return E.copy_tree(_paths(spark, folder), "workspace", "copies")
+
+
+@query("SELECT case_id, 'Go to ' || suite_name || ' with ' || CASE WHEN case_id % 2 = 0 THEN user_task_id ELSE 'nothing' END || ' and {other}' AS text FROM trace_case WHERE suite_name IS NOT NULL AND user_task_id IS NOT NULL")
+def filled_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates filled with values where there are some, else with defaults; unknown names stay."""
+    c = read_table(spark, folder, "trace_case").where("suite_name is not null and user_task_id is not null")
+    values = F.map_concat(F.create_map(F.lit("suite"), "suite_name", F.lit("unknown"), "suite_name"), F.when(F.col("case_id") % 2 == 0, F.create_map(F.lit("task"), "user_task_id")).otherwise(F.create_map().cast("map<string,string>")))
+    return c.select("case_id", E.filled_with_defaults(F.lit("Go to {suite} with {task} and {other}"), values, F.create_map(F.lit("suite"), F.lit("home"), F.lit("task"), F.lit("nothing"))).alias("text"))

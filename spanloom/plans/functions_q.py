@@ -194,3 +194,29 @@ def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def first_code_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The first line of each text that is no comment or fence."""
     return read_table(spark, folder, "documents").where("text is not null").select("doc_id", X.first_code_line(F.col("text")).alias("line"))
+
+
+@query("SELECT row_id, instruction AS back, CASE WHEN contains(instruction, ' the ') THEN rtrim(left(instruction, strpos(instruction, ' the ') - 1)) ELSE instruction END AS cut FROM tagger_record WHERE regexp_full_match(instruction, '[ -~]*') AND instruction = trim(instruction, ' ')")
+def fragments(spark: SparkSession, folder: str) -> DataFrame:
+    """Instructions escaped for JSON and back, and cut at a marker."""
+    r = read_table(spark, folder, "tagger_record").where(F.col("instruction").rlike("^[ -~]*$") & (F.trim("instruction") == F.col("instruction")))
+    return r.select("row_id", X.unescape_json(X.escape_json(F.col("instruction"))).alias("back"), X.cut_at(F.col("instruction"), [" the "]).alias("cut"))
+
+
+@query(
+    """
+    WITH f AS (SELECT item_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS a, list_distinct(regexp_extract_all(lower(benchmark || ' ' || split || ' the a of'), '[a-z0-9_]+')) AS b, benchmark FROM eval_item WHERE text IS NOT NULL)
+    SELECT item_id, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS short, len(list_filter(a, lambda x: list_contains(b, x))) AS shared, true AS same FROM f"""
+)
+def short_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Items squeezed and shortened, tokens they share with their labels, and an equality without case."""
+    i = read_table(spark, folder, "eval_item").where("text is not null")
+    return i.select("item_id", X.shortened(F.col("text")).alias("short"), X.token_overlap(F.col("text"), F.concat_ws(" ", "benchmark", "split", F.lit("the a of"))).cast("long").alias("shared"), X.same_text(F.concat(F.lit(" "), F.upper("benchmark")), F.col("benchmark")).alias("same"))
+
+
+@query("SELECT case_id, CASE case_id % 4 WHEN 3 THEN NULL WHEN 2 THEN evaluation_timestamp::DATE::TIMESTAMP WHEN 1 THEN date_trunc('minute', evaluation_timestamp) ELSE date_trunc('second', evaluation_timestamp) END AS at FROM trace_case")
+def parsed_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times in several forms, and a text that is none."""
+    t, k = F.col("evaluation_timestamp"), F.col("case_id") % 4
+    said = F.when(k == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(t, "dd.MM.yyyy HH:mm")).when(k == 2, F.date_format(t, "yyyy-MM-dd")).otherwise(F.lit("next week"))
+    return read_table(spark, folder, "trace_case").select("case_id", X.parsed_time(said).cast("timestamp_ntz").alias("at"))

@@ -231,3 +231,17 @@ def tool_subsets(spark: SparkSession, folder: str) -> DataFrame:
     users = c.where("injection_task_id is null").groupBy("suite_name", "user_task_id").agg(F.collect_set("tool_name").alias("tools"))
     injections = c.where("injection_task_id is not null").groupBy("suite_name", "injection_task_id").agg(F.collect_set("tool_name").alias("tools"))
     return R.tool_subset(users, injections, "suite_name", "tools")
+
+
+@query("SELECT suite_name, pipeline_name, CASE WHEN count(security) > 0 THEN printf('%.1f', round(100.0 * count(*) FILTER (security) / count(security), 1)) ELSE '-' END AS asr FROM trace_case WHERE user_task_id <> 'user_task_0' GROUP BY ALL")
+def score_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attack success with one decimal, and a dash without trials."""
+    c = read_table(spark, folder, "trace_case").where("user_task_id <> 'user_task_0'").groupBy("suite_name", "pipeline_name")
+    return c.agg(R.score_text(F.count_if("security"), F.count("security")).alias("asr"))
+
+
+@query("SELECT attack_type, agentdojo_package_version AS version, count(duration) AS n, round(avg(duration), 6) AS mean, round(median(duration), 6) AS median, round(stddev_pop(duration), 6) AS deviation FROM trace_case GROUP BY ALL")
+def usage_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations by attack and version, null ones included."""
+    c = read_table(spark, folder, "trace_case").withColumnRenamed("agentdojo_package_version", "version")
+    return R.usage_stats(c, ["attack_type", "version"], "duration")
