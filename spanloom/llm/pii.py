@@ -39,7 +39,7 @@ _PARTICLE = "(?:" + "|".join(sorted(_PARTICLES)) + ")"
 # Names as slots hold them: surname first with a comma, or given name first.
 _GIVEN = rf"(?:{_TOKEN}|[{_L}]\.)"
 _SURNAME = rf"(?:{_PARTICLE} ){{0,2}}{_TOKEN}(?:-{_TOKEN})?"
-_NAME = rf"(?P<name>(?<![\w'’])(?:(?P<last>{_SURNAME}), (?P<after>{_GIVEN}(?: {_GIVEN})?)|(?P<first>{_GIVEN}(?: {_GIVEN})?) (?P<sur>{_SURNAME}))(?![{_L}\d_'’]))"
+_NAME = rf"(?P<name>(?<![{_L}\d_'’])(?:(?P<last>{_SURNAME}), (?P<after>{_GIVEN}(?: {_GIVEN})?)|(?P<first>{_GIVEN}(?: {_GIVEN})?) (?P<sur>{_SURNAME}))(?![{_L}\d_'’]))"
 _SLOT_END = r"(?=\s*(?:[,.;:<(\[\"\n]|$|です)|\s(?:about|at|wrote|signed|unter|au|al|for|anrufen)\b)"
 #: Words and signs before a person, in the languages of the corpus.
 _CUE = re.compile(
@@ -74,7 +74,7 @@ _SPELT_SIGN = re.compile(r"[\[({]\s?at\s?[\])}]|[\s\[({]dot[\s\])}]", re.I)  # w
 # Phone numbers: international with + or 00, national with a leading 0, and ten digits in groups.
 _PHONE = re.compile(
     r"(?<![\w.+#/-])(?:"
-    r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){1,6}"
+    r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d(?=[ .-]))?(?:[ .-]?\d{2,5}){1,6}"
     r"|00[1-9]\d{0,2}(?:[ .-]\d{2,5}){2,5}|00\d{2}-\d{3}-\d{3}-\d{4}"
     r"|(?:1[ .-])?\(\d{3}\) ?\d{3}[ .-]\d{4}"
     r"|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}"
@@ -109,11 +109,14 @@ _CUED = re.compile(rf"(?:address (?:was|is)|arrived at|off at|keys to|lives at|d
 _FRENCH = re.compile(r"(?<![\w.#/-])\d{1,5}(?: ?(?:bis|ter|quater))?,? (?:rue|allée|avenue|place|chemin|impasse|quai|boulevard|cours|passage|route|square) (?:(?:de la|de l['’]|de|du|des|d['’]|la|le|les) ?)?[A-ZÀ-Þ][\w'’-]+(?: (?-i:[A-ZÀ-Þ])[\w'’-]+){0,2}", re.I)
 _SPANISH = re.compile(r"\b(?:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Carrera|Ronda) (?:(?:de la|de los|de las|del|de|la|el|los|las) )?[A-ZÀ-Þ][\w-]+(?: (?:de |del |la )?[A-ZÀ-Þ][\w-]+){0,3},? (?:n[º°] ?)?\d{1,5}\b(?:, \d{1,2}[ºª](?: ?[A-Z]\b)?)?", re.I)
 _GERMAN = re.compile(r"(?<![\w-])(?:(?:Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?|Lange[rns]?|Obere[rns]?|Untere[rns]?|Hohe[rns]?|Am|An der|An den|Im|In der|Auf der|Zum|Zur|Sankt|St\.) )?[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.?|gasse|weg|platz|allee|ring|damm|ufer|steig) \d{1,4} ?[a-z]?\b", re.I)
+# A street named by where it lies has no street's ending, so the word before tells it.
+_PLACED = re.compile(r"(?:Anschrift|Adresse|Wohnort):\s((?:Am|Im|An de[rn]|In de[rn]|Auf de[rm]|Hinter de[rm]|Unter de[nr]|Zum|Zur|Bei de[rm]) (?:[A-ZÄÖÜ][\w-]+ ){1,3}\d{1,4}(?: ?[a-z])?\b)", re.I)
 
 
 #: Literals without which a family of patterns can't match, in lower case.
 _FAMILIES = {
     "german": ["straße ", "strasse ", "str. ", "str ", "gasse ", "weg ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig "],
+    "placed": ["anschrift:", "adresse:", "wohnort:"],
     "spanish": ["calle ", "c/ ", "avda", "avenida ", "av. ", "plaza ", "pza", "paseo ", "camino ", "carrera ", "ronda "],
     "french": [" rue ", " allée ", " avenue ", " place ", " chemin ", " impasse ", " quai ", " boulevard ", " cours ", " passage ", " route ", " square "],
     "english": [" street", " st", " road", " rd", " avenue", " ave", " lane", " ln", " drive", " dr", " way", " court", " ct", " close", " place", " pl", " square", " sq", " terrace", " boulevard", " blvd", " crescent", " parkway", " highway", "box ", "postfach ", "apartado "],
@@ -193,8 +196,9 @@ def structured(text: str, families: set[str] | None = None) -> list[Found]:
         for family, pattern in (("english", _ENGLISH), ("lower", _LOWER), ("french", _FRENCH), ("spanish", _SPANISH), ("german", _GERMAN)):
             for m in pattern.finditer(text) if family in families else ():
                 take(*m.span(), "street_address")
-        for m in _CUED.finditer(text) if "cued" in families else ():
-            take(*m.span(1), "street_address")
+        for family, pattern in (("cued", _CUED), ("placed", _PLACED)):
+            for m in pattern.finditer(text) if family in families else ():
+                take(*m.span(1), "street_address")
         for m in _ID.finditer(text) if "identity" in families else ():
             if sum(c.isdigit() for c in m["id"]) >= 5:
                 take(*m.span("id"), "identity_number")
@@ -224,6 +228,12 @@ def _parts(match: re.Match) -> tuple[list[str], list[str]]:
     return [w for w in given if len(w) > 1 and w.lower() not in none], [w for w in last if len(w) > 1 and w.lower() not in none]
 
 
+def _slot(lo: int, match: re.Match, given: list[str], last: list[str]) -> dict:
+    """A slot's name as it is kept: its place, given names, whether these are initials only, and whether it has a surname with a capital."""
+    initial = not given and (match["after"] or match["first"]).endswith(".") and len((match["after"] or match["first"]).split(" ")[0]) == 2
+    return {"start": lo + match.start("name"), "end": lo + match.end("name"), "given": [w.lower() for w in given], "initial": initial, "last": bool(last) and (not initial or last[0][0].isupper())}
+
+
 def _bare(word: str) -> str:
     """A surname without a leading O' or D'."""
     return word[2:] if len(word) > 3 and word[1] in "'’" else word
@@ -261,9 +271,9 @@ class Disclosure:
     seen_bits: int = 24
 
 
-_FIRST = "h long, n long, capital long, given long, surname long, id long, text string, entities array<struct<start:int,end:int,kind:string>>, slots array<struct<start:int,end:int,given:array<string>,last:boolean>>"
+_FIRST = "h long, n long, capital long, given long, surname long, id long, text string, entities array<struct<start:int,end:int,kind:string>>, slots array<struct<start:int,end:int,given:array<string>,initial:boolean,last:boolean>>"
 _ENTITY = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-_SLOT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("given", pa.list_(pa.string())), ("last", pa.bool_())]))
+_SLOT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("given", pa.list_(pa.string())), ("initial", pa.bool_()), ("last", pa.bool_())]))
 _FIRST_TYPES = {"h": pa.int64(), "n": pa.int64(), "capital": pa.int64(), "given": pa.int64(), "surname": pa.int64(), "id": pa.int64(), "text": pa.string(), "entities": _ENTITY, "slots": _SLOT}
 
 
@@ -302,7 +312,7 @@ def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = lo + m.start("name")
             firsts.update((at, w) for w in a)
             lasts.update((at, w) for w in b)
-            found.append({"start": at, "end": lo + m.end("name"), "given": [w.lower() for w in a], "last": bool(b)})
+            found.append(_slot(lo, m, a, b))
         given.update(w.lower() for _, w in firsts)
         surname.update(w.lower() for _, w in lasts)
         capital.update(w.lower() for _, w in firsts | lasts if w[0].isupper())
@@ -427,15 +437,15 @@ def find(text: str, lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
     held = []
     for lo, m in slots(text, entities, places):
         a, b = _parts(m)
-        held.append({"start": lo + m.start("name"), "end": lo + m.end("name"), "given": [w.lower() for w in a], "last": bool(b)})
+        held.append(_slot(lo, m, a, b))
     return with_names(text, entities, held, lexicon)
 
 
 def with_names(text: str, entities: list[Found], held: list[dict], lexicon: Callable[[str], tuple[bool, bool]]) -> list[Found]:
-    """The entities of a text and its names, in order. A name in a slot counts if one part of it is known: its surname may be the first of its kind."""
+    """The entities of a text and its names, in order. A name in a slot counts if its given name is known or an initial: its surname may be the first of its kind."""
     got = [*entities, *names(text, entities, lexicon)]
     for slot in held:
-        if slot["last"] and any(lexicon(w)[0] for w in slot["given"]) and all(slot["end"] <= f.start or f.end <= slot["start"] for f in got):
+        if slot["last"] and (slot["initial"] or any(lexicon(w)[0] for w in slot["given"])) and all(slot["end"] <= f.start or f.end <= slot["start"] for f in got):
             got.append(Found(slot["start"], slot["end"], "person_name"))
     return sorted(got, key=lambda f: f.start)
 

@@ -435,6 +435,9 @@ FOUND = [
     ("livraison : 71 bis, allée des Ormes Bas", "street_address", "71 bis, allée des Ormes Bas"),
     ("Domicilio: Plaza del Pozo 143, 2º B", "street_address", "Plaza del Pozo 143, 2º B"),
     ("Send to P.O. Box 735, Eastmere", "street_address", "P.O. Box 735"),
+    ("text +33 1 99 00 18 39.", "phone", "+33 1 99 00 18 39"),
+    ("Anschrift: Am Kalten Furt 51, 00155 Kaltenfurt", "street_address", "Am Kalten Furt 51"),
+    ("Am Montag 12 Gläser", "street_address", None),
     ("See room 873, floor 201, Copper Mill Hall. 16 ways to free some space on the shared drive", "street_address", None),
 ]
 
@@ -494,6 +497,7 @@ def test_names_come_from_the_corpus(spark):
     given, last = ["Mara", "Jonas", "Rose", "Ilse"], ["Tolberg", "Vesper", "Quandt", "O'Hallin", "Brinkmoor"]
     frames = ["Dear {n},\nthe pipe is ready.", "assigned to {n} ({m})", "Dr. {n} signed the form.", "{n} wrote: it never arrived.", "I spoke with {n} about the ledger."]
     docs = [(k, _text(rng, 60) + ".\n" + rng.choice(frames).format(n=f"{rng.choice(given)} {rng.choice(last)}", m="desk@mail.example") + "\n" + _text(rng, 20)) for k in range(150)]
+    docs += [(3000, "担当はM. Zelovarです。" + _text(rng, 20))]
     docs += [(900 + k, "Rose Quartz and Amber Valve are product names. " + _text(rng, 30)) for k in range(40)]
     docs += [(2000, "Yesterday Vesper, Mara met J. Tolberg-Quandt and ILSE VAN BRINKMOOR near the bridge. " + _text(rng, 20)), (2001, None), (2002, ""), (2000, "Rose O'Hallin")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id int, text string, word string").repartition(3)
@@ -503,6 +507,7 @@ def test_names_come_from_the_corpus(spark):
     assert rows[1].text == "[PERSON_NAME]" and (rows[1].found[0]["start_at"], rows[1].found[0]["end_at"]) == (0, 13)
     assert all("Rose Quartz and Amber Valve" in r.text for r in got if 900 <= r.id < 1000)
     assert all(len(r.found) == (2 if "desk@" in dict(docs)[r.id] else 1) for r in got if r.id < 150)
+    assert [(f["start_at"], f["end_at"]) for r in got if r.id == 3000 for f in r.found] == [(3, 13)]
     assert [r.text for r in got if r.id == 2002] == [""] and not [r for r in got if r.id == 2001]
     assert pii.personal_information(df.limit(0), "doc_id", "text", pii.Disclosure(seen_bits=16)).count() == 0
 
