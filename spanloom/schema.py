@@ -8,6 +8,7 @@ ATTACK_TYPES = ["Clean", "Naive", "Ignore", "Completion", "IndirectAgentic"]
 POSITIONS = ["none", "prepend", "middle", "append"]
 CUT_TYPES = ["none", "empty", "two_thirds", "half"]
 
+#: The fields of a tagger record, of messages, events and traces, as the files have them.
 SPAN = "struct<start:int,end:int>"
 TEXT_FIELDS = ["id", "base_id", "split", "instruction", "original_data", "clean_data", "attacked_data", "injection", "inserted_text", "attack_type", "position", "cut_type"]
 TAGGER_RECORD = (
