@@ -15,6 +15,8 @@ from ..functions.spans import let, no_spans
 from ..functions.text import strip
 from .generate import escape_for, insert_attack, separator, wrap_in_envelope
 
+#: Fixed value: what a question as an injection begins with.
+QUESTION_PREFIX = "answer the following question. "
 #: Templates of our own.
 WRAPPERS = {
     "train": ["[notice]\n{payload}\n[/notice]", "== message for the operator ==\n{payload}\n== end ==", "(assistant only: {payload})"],
@@ -44,7 +46,7 @@ def injected_prompt(instruction: Column, data: Column) -> Column:
     both = lambda first: F.when(d == "", first).otherwise(F.concat(first, F.lit(" "), d))
     said = both(F.concat(F.lower(F.left(i, F.lit(1))), F.substring(i, F.lit(2), F.length(i))))
     stopped = F.when(F.right(said, F.lit(1)).isin(".", "!", "?"), said).otherwise(F.concat(said, F.lit(".")))
-    return F.when(i == "", d).when(i.endswith("?"), both(F.concat(F.lit("answer the following question. "), i))).otherwise(stopped)
+    return F.when(i == "", d).when(i.endswith("?"), both(F.concat(F.lit(QUESTION_PREFIX), i))).otherwise(stopped)
 
 
 def delimiter_name(kind: str, key: Column, pool: str, purpose: str, seed: int = 7) -> Column:
