@@ -57,16 +57,20 @@ def _leads(field: str, w: np.ndarray, plan: SuffixPlan) -> np.ndarray:
     return window_hashes(w, plan.lead) ^ salt(field)
 
 
-def ranks(w: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
-    """Hashes of twice, four and eight times ``width`` words from each start. The mark stands past the end and is told apart by
+def padded_hashes(w: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` words from each place of a record and the marks after it."""
+    return window_hashes(np.concatenate([w, np.full(width * 8, _END, np.uint64)]), width)
+
+
+def ranks(h: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Hashes of twice, four and eight times ``width`` words from each start, from those of ``width`` words. The mark stands past the end and is told apart by
     what is before it, so suffixes that end alike share the rank of what they hold."""
     odd = np.uint64(0xD6E8FEB86659FD93)
-    h = window_hashes(np.concatenate([w, np.full(width * 8, _END, np.uint64)]), width)
+    parts = h[at[:, None] + np.arange(8) * width]
     found = []
-    for level in range(3):
-        step = width << level
-        h = h[:-step] * odd + h[step:]
-        found.append((h[at] * odd >> np.uint64(32)).astype(np.uint32))
+    for _ in range(3):
+        parts = parts[:, 0::2] * odd + parts[:, 1::2]
+        found.append((parts[:, 0] * odd >> np.uint64(32)).astype(np.uint32))
     return found
 
 
@@ -152,9 +156,10 @@ def _suffixes(how: Similarity, plan: SuffixPlan, shared, counts_bits: int, seen_
             done.add((sig, side))
             if len(done) > 200_000:
                 done.clear()
-            found, at = np.unique(window_hashes(w, how.width) ^ salt(field), return_index=True)
+            h = padded_hashes(w, how.width)
+            found, at = np.unique(h[: len(w) - how.width + 1] ^ salt(field), return_index=True)
             df = counts.estimate(found)
-            first = np.lexsort((found, df))[: how.prefix(len(found))]
+            first = np.argsort(df, kind="stable")[: how.prefix(len(found))]  # of equal counts the smaller hash
             useful = df[first] > 1  # a shingle counted once has no second record
             if not side:
                 useful &= seen.has(found[first])
@@ -163,7 +168,7 @@ def _suffixes(how: Similarity, plan: SuffixPlan, shared, counts_bits: int, seen_
             first = first[useful]
             e = np.empty(len(first), _SUFFIX)
             e["r0"], e["sig"], e["size"], e["place"] = found[first], sig, len(found), np.flatnonzero(useful) | (_SIDE if side else 0)
-            e["r1"], e["r2"], e["r3"] = ranks(w, at[first], how.width)
+            e["r1"], e["r2"], e["r3"] = ranks(h, at[first], how.width)
             held.append(e)
             n += len(e)
             if n > 200_000:

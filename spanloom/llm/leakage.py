@@ -24,11 +24,12 @@ from .sketches import Bitmap, known
 @dataclass(frozen=True)
 class Passage:
     """``run``: words of a passage; ``width``: words of a shingle; ``seen_bits``: size of the bitmaps of the items' shingles and passages, which follows from
-    their number unless given; ``salts``: parts of a hot shingle where the items outgrow a broadcast."""
+    their number unless given; ``small``: passages up to which they are broadcast; ``salts``: parts of a hot shingle where they are more."""
 
     run: int = 10
     width: int = 5
     seen_bits: int | None = None
+    small: int = 200_000
     salts: int = 16
 
     @property
@@ -130,7 +131,7 @@ def leaked_passages(documents: DataFrame, doc_col: str, text_col: str, items: Da
     discard(windows)
     found = scanned.where("doc is not null").select("doc", "said", F.posexplode("grams").alias("off", "gram"))
     on = ["gram", "off", "said"]
-    if (small := broadcast_if_small(prefix, 200_000)) is prefix:
+    if (small := broadcast_if_small(prefix, how.small)) is prefix:
         found = found.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(how.salts)).cast("int"))
         small = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
         on.append("salt")

@@ -129,7 +129,7 @@ def _entries(how: Similarity, sketch, blocks: int, hot: int) -> Callable:
                 kept.clear()
             found = field_set(field, w, how)
             df = counts.estimate(found)
-            first = np.lexsort((found, df))[: how.prefix(len(found))]
+            first = np.argsort(df, kind="stable")[: how.prefix(len(found))]  # of equal counts the smaller hash
             once = df[first] > 1  # a column counted once has no second record
             e = np.empty(int(once.sum()), _ENTRY)
             e["gram"], e["sig"], e["grp"], e["size"], e["pos"] = found[first][once], sig, group, len(found), np.flatnonzero(once)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import chunking as C
 from spanloom.llm import pii
-from spanloom.llm.crosssplit import _SUFFIX, SuffixPlan, cross_pairs, cross_split_overlaps, ranks, suffix_ranks
+from spanloom.llm.crosssplit import _SUFFIX, SuffixPlan, cross_pairs, cross_split_overlaps, padded_hashes, ranks, suffix_ranks
 from spanloom.llm.keys import Sketch
 from spanloom.llm.leakage import Passage, leaked_passages
 from spanloom.llm.mixing import Node, mixture, spread
@@ -147,7 +147,7 @@ def test_ranks_tell_common_prefixes():
     e = np.zeros(2, _SUFFIX)
     for k, text in enumerate((w, v)):
         e["r0"][k] = 5
-        e["r1"][k], e["r2"][k], e["r3"][k] = (r[0] for r in ranks(text, np.array([0]), 3))
+        e["r1"][k], e["r2"][k], e["r3"][k] = (r[0] for r in ranks(padded_hashes(text, 3), np.array([0]), 3))
     _, stretch = suffix_ranks(e)
     assert [bool(s[0] == s[1]) for s in stretch] == [True, True, True, False]  # 17 words: 3, 6 and 12 are common, 24 aren't
 
@@ -376,10 +376,11 @@ def test_leaks_match_brute_force(spark):
     docs += [(500, None), (501, ""), (502, docs[0][1]), (503, "stock words at the end of many items here today " * 2)]
     d = spark.createDataFrame([(*x, "en") for x in docs], "doc_id int, text string, item string").repartition(3)
     i = spark.createDataFrame([(*x, "v") for x in items], "item_id int, text string, doc string")
-    got = {(r.item, r.doc) for r in leaked_passages(d, "doc_id", "text", i, "item_id", "text", Passage(seen_bits=16)).collect()}
     runs = lambda t: _grams(t, 10, 10) or set()
     want = {(a, b) for a, s in items for b, t in docs if runs(s) & runs(t)}
-    assert got == want and len(want) > 20
+    for how in (Passage(), Passage(seen_bits=4), Passage(small=0, salts=3)):
+        found = leaked_passages(d, "doc_id", "text", i, "item_id", "text", how).collect()
+        assert {(r.item, r.doc) for r in found} == want and len(want) > 20 and len(found) == len(set(found))
     assert leaked_passages(d.limit(0), "doc_id", "text", i, "item_id", "text", Passage(seen_bits=16)).count() == 0
     assert leaked_passages(d, "doc_id", "text", i.limit(0), "item_id", "text", Passage(seen_bits=16)).count() == 0
 
@@ -419,6 +420,19 @@ def test_mixture(spark):
     assert mixture(df.limit(0), "doc_id", F.octet_length("text") + 1, F.col("source"), targets).rows.count() == 0
 
 
+def test_shortages_stay_in_their_domain(spark):
+    rows = [(k, "x" * 9, s, "en") for s, n in (("a", 10), ("b", 100), ("c", 100)) for k in range(n)]
+    df = spark.createDataFrame([(i, t, s, g) for i, (_, t, s, g) in enumerate(rows)], "doc_id int, text string, source string, lang string")
+    targets = spark.createDataFrame([("a", 400, 1), ("b", 100, 3), ("c", 500, 3)], "source string, weight_permille int, max_repeats int")
+    size = F.octet_length("text") + 1
+    of = lambda **k: {r.source: r for r in mixture(df, "doc_id", size, F.col("source"), targets, [F.col("lang")], **k).report.collect()}
+    apart = of(domain=lambda s: "one" if s in "ab" else "two")
+    # 2,100 in all: a can't hold its 840, and the domain's 1,050 goes to a and b.
+    assert (apart["a"].budget, apart["b"].budget, apart["c"].budget) == (100, 950, 1050) and [r.short for r in (apart["a"], apart["b"], apart["c"])] == [True, False, False]
+    together = of()
+    assert together["a"].budget == 100 and together["b"].budget == pytest.approx(2000 / 6) and together["c"].budget == pytest.approx(10000 / 6)
+
+
 FOUND = [
     ("Write to ann.lee+x@mail.example.org now", "email", "ann.lee+x@mail.example.org"),
     ("ann_lee [at] mail [dot] example [dot] org, please", "email", "ann_lee [at] mail [dot] example [dot] org"),
