@@ -351,7 +351,7 @@ def near_duplicates(
     else:
         group_of = docs
     if sketch_bits is None:
-        sketch_bits = sketch_size(corpus_words(docs))
+        sketch_bits = sketch_size(corpus_words(docs) // 2)
     keyed = written(group_of.mapInArrow(_keyed(how, sketch_bits), _KEYED), "neardup-keys")
     rows = keyed.where(F.col("part").isNull())
     members = rows.select("field", "id", "grp", "sig", "size")
