@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ def discard(*tables: DataFrame) -> None:
             _remove(*entry)
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Let executors drop the shuffle files of finished steps: they go once the driver has collected what referred to them, which it is asked to do here."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
