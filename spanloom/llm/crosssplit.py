@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, spread, written
+from ..shared import discard, drop_old_shuffles, spread, written
 from .keys import Sketch, arrow_rows, bitmap_size, mix, signature, sketch_size, window_hashes
 from .neardup import _BLOCKS, Similarity, _batch, _by_block, blocks_and_tasks, class_sets, dealt, field_set, hashed_words, overlap, salt, stored, whole_blocks
 from .sketches import BLOB, Bitmap, SketchBuilder, blobs, collected
@@ -396,6 +396,8 @@ def cross_split_overlaps(records: DataFrame, id_col: str, side: Column, text_col
         starts = rows.select("field", "side", "seq", "words").mapInArrow(_all_starts(how, plan, shared, counts_bits, seen_bits, blocks), _BLOCKS).repartition(tasks, "block").sortWithinPartitions("block")
         matched = starts.mapInArrow(_matched, "seq long, starts binary").groupBy("seq").agg(F.collect_list("starts").alias("starts"))
         covered = written(matched.mapInArrow(_merged(plan.lead), "seq long, spans array<struct<pos:int,length:int>>, covered int"), "split-spans")
+        del starts, matched
+        drop_old_shuffles(spark)
     blocks, tasks = blocks_and_tasks(spark, total * (1000 - how.permille) // 1000, plan.entries)
     suffixes = rows.select("field", "side", "sig", "words").mapInArrow(_suffixes(how, plan, shared, counts_bits, seen_bits, blocks), _BLOCKS).repartition(tasks, "block").sortWithinPartitions("block")
     terms = suffixes.mapInArrow(_covered(how), "test long, train long, floor int, n int, longest int")
